@@ -131,9 +131,9 @@ def query_trigrams(rules: tuple[Rule, ...] = RULES) -> list[str]:
 
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, doc_id): every document under each of the given trigrams that its lower-cased text holds."""
-    low = F.lower(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(n)) for n, t in enumerate(trigrams)]))
-    return docs.select(F.col("doc_id"), F.explode(held).alias("trigram"))
+    low = docs.select("doc_id", F.lower(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(n)) for n, t in enumerate(trigrams)]))
+    return low.select("doc_id", F.explode(held).alias("trigram"))
 
 
 def candidates(postings: DataFrame, trigrams: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
