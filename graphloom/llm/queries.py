@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, html_text, media, packing, secrets
+from graphloom.llm import bpe, html_text, language, media, packing, secrets, toxicity
 from graphloom.session import table
 
 
@@ -28,6 +29,21 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    train = language.remainder(docs["doc_id"], 5) != 0
+    model = toxicity.train_toxicity_model(docs, table(spark, sf_dir, "labels"), train)
+    out = toxicity.score_toxicity(docs, model)
+    return out.select("doc_id", (language.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train_language_model(docs, language.remainder(docs["doc_id"], 4) != 2)
+    out = language.predict_languages(docs, model)
+    return out.select("doc_id", (language.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"), *_tokenizer("byte_bpe_50k.tiktoken"))
 
