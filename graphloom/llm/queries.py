@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, html_text, language, media, packing, secrets, toxicity
+from graphloom.llm import bpe, html_text, language, media, packing, secrets, substrings, toxicity
 from graphloom.session import table
 
 
@@ -29,6 +29,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     train = language.remainder(docs["doc_id"], 5) != 0
@@ -80,5 +84,15 @@ by_doc AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FI
   string_agg(mark, ',' ORDER BY s, k) FILTER (WHERE base) AS base, string_agg(mark, ',' ORDER BY s, k) AS spans FROM marks GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM documents d LEFT JOIN by_doc b ON d.doc_id = b.doc_id"""
+FROM documents d LEFT JOIN by_doc b ON d.doc_id = b.doc_id""",
+        "op5_substring_dedup": """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS m FROM win) WHERE doc_id > m),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM hit),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS x FROM w),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.i) AS t FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i WHERE gone.i IS NULL GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id LEFT JOIN n ON w.doc_id = n.doc_id"""
     }
