@@ -18,12 +18,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.gru import GRU, Adam, scatter, sigmoid
 from graphloom.llm.language import remainder, training_sample
-from graphloom.llm.text import Memo, map_texts, words_of
+from graphloom.llm.text import Memo, bounded_batches, map_texts, words_of
 
 HIDDEN, WINDOW, STRIDE, RUN = 8, 32, 16, 4096
 WORD_ROWS, CHAR_ROWS, WIDTH = 1 << 14, 1 << 11, 8
@@ -235,3 +236,17 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
         return {"doc_id": ids, "score": score, "predicted": [int(s >= 0.5) for s in score]}
 
     return map_texts(docs, rows, "doc_id long, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
+    """The rows of ``docs`` that are not called toxic, all columns; narrow, no shuffle."""
+
+    @F.pandas_udf("boolean")
+    def fine(text: pd.Series) -> pd.Series:
+        texts = [t or "" for t in text]
+        return pd.Series(model.score(texts) < 0.5) if texts else pd.Series([], dtype=bool)
+
+    if model is None:
+        return docs
+    bounded_batches(docs)
+    return docs.filter(fine(docs["text"].cast("string")))
