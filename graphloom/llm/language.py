@@ -104,22 +104,22 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
 
 
-def training_sample(docs: DataFrame, label: str, per_label: int) -> list[tuple]:
-    """(doc_id, text, label) of at most 2 * per_label rows a label, about per_label of them, spread by a hash of the id."""
+def training_sample(docs: DataFrame, label: str, per_label: int) -> tuple[list[tuple], dict]:
+    """(doc_id, text, label) of at most 2 * per_label rows a label, about per_label of them, spread by a hash of the id; and the labels' counts."""
     counts = {r[0]: r[1] for r in docs.groupBy(label).count().collect()}
     picked = None
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         share = min(1.0, per_label / n)
         part = docs.filter((F.col(label) == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).limit(2 * per_label)
         picked = part if picked is None else picked.unionByName(part)
-    return [] if picked is None else sorted(tuple(r) for r in picked.select("doc_id", "text", label).collect())
+    return ([] if picked is None else sorted(tuple(r) for r in picked.select("doc_id", "text", label).collect())), counts
 
 
 def train_language_model(docs: DataFrame, train: Column) -> ByteTagger | None:
     """``train`` tells which rows may be learned from."""
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"), train.alias("t"))
     known = known.filter(F.col("t") & F.col("lang").isNotNull() & (F.length("text") > 0))
-    rows = training_sample(known, "lang", DOCS_A_LANGUAGE)
+    rows, _ = training_sample(known, "lang", DOCS_A_LANGUAGE)
     labels = sorted({r[2] for r in rows})
     if not labels:
         return None

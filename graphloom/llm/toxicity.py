@@ -6,7 +6,7 @@ positions, and a document's score is that of its most toxic window. All windows
 
 Trained in numpy on a bounded sample of labelled documents (about ``DOCS_A_LABEL`` of each label). A toxic document
 teaches by its window that looks most toxic so far, a clean one by its most toxic looking and a random window; word
-vectors start from log-odds in the sample. The decision point is set on a fifth of the sample that is
+vectors hold log-odds of the sample, shrunk for rare words; a toxic document without any word of raised odds teaches nothing. The decision point is set on a fifth of the sample that is
 not trained on.
 
 Defined results: null and empty texts have one empty window and get its score; without labelled rows of both
@@ -29,7 +29,7 @@ from graphloom.llm.text import Memo, bounded_batches, map_texts, words_of
 HIDDEN, WINDOW, STRIDE, RUN = 8, 32, 16, 4096
 WORD_ROWS, CHAR_ROWS, WIDTH = 1 << 14, 1 << 11, 8
 #: Bounds of the training sample and of its use.
-DOCS_A_LABEL, ROUNDS, EPOCHS, BATCH = 1000, 2, 3, 128
+DOCS_A_LABEL, ROUNDS, EPOCHS, BATCH = 1000, 2, 8, 128
 _EDGES = b".,;:!?%*#$&|\"'()[]{}<>-_"
 
 
@@ -118,7 +118,7 @@ class ToxicModel:
         return sigmoid(self.logits(texts).astype(np.float64) - self.shift)
 
     def params(self) -> dict[str, np.ndarray]:
-        return {k: getattr(self, k) for k in ("word", "char", "xf", "xb", "bf", "bb", "attend", "out", "bias")} | {"uf": self.f.u, "ub": self.b.u}
+        return {k: getattr(self, k) for k in ("char", "xf", "xb", "bf", "bb", "attend", "out", "bias")} | {"uf": self.f.u, "ub": self.b.u}
 
     def start_from_odds(self, texts: list[str], toxic: np.ndarray) -> np.ndarray:
         """First coordinate of the word vectors: smoothed log-odds of holding the word. Gives each text's windows' best sum."""
@@ -128,7 +128,7 @@ class ToxicModel:
         n = np.bincount(toxic.astype(int), minlength=2)
         odds = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
         total = seen.sum(0)
-        self.word[:, 0] = np.clip(odds * total / (total + 6), -2, 4)  # rare words tell little
+        self.word[:, 0] = np.clip(odds * total / (total + 0.1 * n[1] + 5), -2, 4)  # rare words tell little
         return self.word[:, 0]
 
     def fit(self, texts: list[str], toxic: np.ndarray, seed: int = 13) -> None:
@@ -138,16 +138,19 @@ class ToxicModel:
         wins = [self.windows(t) for t in texts]
         words = [None, *self.rows]
         adam = Adam(self.params(), 0.01)
-        odds = np.array([0.0, *[max(0.0, float(self.word[features[w][0], 0]) - 0.5) for w in words[1:]]])
+        odds = np.array([0.0, *[max(0.0, float(self.word[features[w][0], 0]) - 1.0) for w in words[1:]]])
         for turn in range(ROUNDS):
             self._refresh(words, features)
-            best = []
-            for w in wins:
-                s = odds[w].sum(1) if turn == 0 else self.forward(w)[0]
-                best.append(w[int(s.argmax())])
+            best, told = [], []
+            for w, y in zip(wins, toxic, strict=True):
+                hint = odds[w].sum(1)
+                s = hint if turn == 0 else self.forward(w)[0]
+                if not y or hint.max() > 0:
+                    best.append(w[int(s.argmax())])
+                    told.append(y)
             other = [w[rng.integers(len(w))] for w, y in zip(wins, toxic, strict=True) if not y]
             data = np.stack([*best, *other])
-            label = np.concatenate([toxic, np.zeros(len(other))]).astype(np.float32)
+            label = np.concatenate([told, np.zeros(len(other))]).astype(np.float32)
             for _ in range(EPOCHS):
                 order = rng.permutation(len(data))
                 for first in range(0, len(order), BATCH):
@@ -183,20 +186,19 @@ class ToxicModel:
         dxf, dxb = dxf.reshape(-1, 3 * HIDDEN), dxb.reshape(-1, 3 * HIDDEN)
         grads["xf"], grads["xb"], grads["bf"], grads["bb"] = x.T @ dxf, x.T @ dxb, dxf.sum(0), dxb.sum(0)
         dx = scatter(flat, dxf @ self.xf.T + dxb @ self.xb.T, len(used))
-        word, char = np.zeros_like(self.word), np.zeros_like(self.char)
-        for row, g in zip(used.tolist(), dx, strict=True):
-            if row:
-                w, cs = features[words[row]]
-                word[w] += g[:WIDTH]
-                np.add.at(char, cs, g[WIDTH:] / len(cs))
-        grads["word"], grads["char"] = word, char
+        char = np.zeros_like(self.char)
+        held = [features[w][1] for w in met]
+        count = np.array([len(cs) for cs in held])
+        share = dx[used > 0][:, WIDTH:] / count[:, None]
+        np.add.at(char, np.concatenate(held), np.repeat(share, count, axis=0))
+        grads["char"] = char
         adam.update(grads)
 
-    def decide(self, logits: np.ndarray, toxic: np.ndarray) -> None:
-        """The decision point with the fewest errors on the sample, toxic and clean documents weighing alike by half."""
+    def decide(self, logits: np.ndarray, toxic: np.ndarray, clean_for_toxic: float) -> None:
+        """The decision point with the fewest errors where so many clean documents come with one toxic one."""
         order = np.argsort(logits)
         y = toxic[order]
-        weight = 0.5 + 0.5 * (~toxic).sum() / max(1, toxic.sum())
+        weight = (~toxic).sum() / max(1, toxic.sum()) / clean_for_toxic
         missed = np.concatenate([[0], np.cumsum(y) * weight])
         raised = np.concatenate([[0], np.cumsum(~y)])
         cost = missed + raised[-1] - raised
@@ -209,7 +211,7 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, train: Column) -> T
     """``labels``: doc_id and toxic. ``train`` tells which documents may be learned from. The sample's ids are bounded, so they are broadcast."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.withColumn("text", F.lit("")).filter(remainder(F.col("doc_id"), 5) != 0)
-    picked = training_sample(known, "toxic", DOCS_A_LABEL)
+    picked, shares = training_sample(known, "toxic", DOCS_A_LABEL)
     if len({y for _, _, y in picked}) < 2:
         return None
     label = dict((i, int(y == 1)) for i, _, y in picked)
@@ -224,7 +226,7 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, train: Column) -> T
     texts = [t for _, t in rows]
     model.fit([t for t, h in zip(texts, held, strict=True) if not h], toxic[~held])
     tune = held if 0 < toxic[held].sum() < held.sum() else ~held
-    model.decide(model.logits([t for t, h in zip(texts, tune, strict=True) if h]), toxic[tune].astype(bool))
+    model.decide(model.logits([t for t, h in zip(texts, tune, strict=True) if h]), toxic[tune].astype(bool), shares.get(0, 1) / max(1, shares.get(1, 1)))
     return model
 
 

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
-A bounded sample of the vectors gives pivots. A vector is represented by its ``PREFIX`` nearest pivots in order; its
-posting goes into the inverted file of each of them. A query visits the files of its nearest pivots, ranks each file's
+A bounded sample of the vectors gives pivots. A vector is represented by its ``PREFIX`` nearest pivots in order. The
+first ``FILES`` pivots have inverted files; a vector is posted in those of its ``POSTS`` nearest. A query visits the files of its nearest pivots, ranks each file's
 postings by the footrule distance between orders, and reranks the nearest share of them by the exact inner product in
 double precision. Files are dealt in blocks, so no file has to fit one task.
 
@@ -19,15 +19,18 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.text import bounded_batches
 
-#: Pivots, length of a vector's order, files that a query visits, the share (at least the number) of a file that is reranked.
-PIVOTS, PREFIX, VISITS, SHARE, LEAST = 64, 8, 8, 0.25, 200
+#: Pivots, length of a vector's order, pivots with files, files that a vector is posted in and a query visits.
+PIVOTS, PREFIX, FILES, POSTS, VISITS = 128, 32, 64, 8, 12
+#: The share (at least the number) of a file's postings, nearest by footrule first, that is reranked.
+SHARE, LEAST = 0.75, 200
 #: Bound of the sample that pivots come from; postings in one block of a file; queries that one task scores at once.
 SAMPLE, BLOCK, CHUNK = 8192, 20_000, 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and the vector as doubles, of rows that take part."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id and the vector, single precision only if it comes so, of rows that take part."""
+    floats = dict(vectors.dtypes)["embedding"] == "array<float>"
+    v = F.col("embedding").cast("array<float>" if floats else "array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return rows.filter(fine)
@@ -55,8 +58,10 @@ def footrule(query_rank: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Footrule distance of prefixes: pivots that one order lacks stand just after its end. (queries, postings)."""
     place = np.arange(order.shape[1], dtype=np.int16)
     out = np.zeros((len(query_rank), len(order)), np.int16)
-    for j in place:
-        out += np.abs(query_rank[:, order[:, j]] - j)
+    for i, rank in enumerate(query_rank):
+        step = np.abs(rank[None, :] - place[:, None])
+        for j in place:
+            out[i] += step[j][order[:, j]]
     return out
 
 
@@ -64,6 +69,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row for which ``is_query`` holds."""
     bounded_batches(vectors)
     rows = usable(vectors)
+    kind = dict(rows.dtypes)["v"]
     width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     result = "query_id long, rank int, vec_id long, score double"
     if not width:
@@ -74,24 +80,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     sample = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < keep).limit(2 * SAMPLE).collect()
     pivots = choose_pivots(np.array([r["v"] for r in sorted(sample)]), PIVOTS)
     prefix = min(PREFIX, len(pivots))
-    visits = min(VISITS, len(pivots))
-    blocks = max(1, -(-total * prefix // (len(pivots) * BLOCK)))
+    files = min(FILES, len(pivots))
+    posts, visits = min(POSTS, files), min(VISITS, files)
+    blocks = max(1, -(-total * posts // (files * BLOCK)))
 
     def post(frames):
         for pdf in frames:
-            v = np.array(pdf["v"].tolist())
-            order = orders(v, pivots, prefix)
-            sides = [(order, 0, prefix)]
+            v = np.array(pdf["v"].tolist(), np.float64)
+            order, near = orders(v, pivots, prefix), orders(v, pivots[:files], max(posts, visits)).astype("int32")
             q = pdf["is_query"].fillna(False).to_numpy(bool)
             base = pd.DataFrame({"vec_id": pdf["vec_id"], "v": list(pdf["v"]), "o": list(order)})
-            for files, side, n in sides:
-                for j in range(n):
-                    yield base.assign(file=files[:, j].astype("int32"), side=side)
-                if q.any():
-                    for j in range(visits):
-                        yield base[q].assign(file=files[q, j].astype("int32"), side=1)
-
-    posted = rows.withColumn("is_query", is_query).mapInPandas(post, "vec_id long, v array<double>, o array<short>, file int, side int")
+            for j in range(posts):
+                yield base.assign(file=near[:, j], side=0)
+            for j in range(visits if q.any() else 0):
+                yield base[q].assign(file=near[q, j], side=1)
+
+    posted = rows.withColumn("is_query", is_query).mapInPandas(post, f"vec_id long, v {kind}, o array<short>, file int, side int")
     block = F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     dealt = posted.withColumn("block", F.explode(block))
 
@@ -99,18 +103,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         asked, held = pdf[pdf["side"] == 1].drop_duplicates("vec_id"), pdf[pdf["side"] == 0]
         out: list[tuple] = []
         if len(asked) and len(held):
-            hv, ho, hid = np.array(held["v"].tolist()), np.array(held["o"].tolist(), np.int16), held["vec_id"].to_numpy()
+            hv, ho, hid = np.array(held["v"].tolist(), np.float32 if kind == "array<float>" else np.float64), np.array(held["o"].tolist(), np.int16), held["vec_id"].to_numpy()
             share = max(LEAST, int(SHARE * len(hid)))
             for first in range(0, len(asked), CHUNK):
                 part = asked.iloc[first : first + CHUNK]
-                qv, qo, qid = np.array(part["v"].tolist()), np.array(part["o"].tolist(), np.int16), part["vec_id"].to_numpy()
+                qv, qo, qid = np.array(part["v"].tolist(), np.float64), np.array(part["o"].tolist(), np.int16), part["vec_id"].to_numpy()
                 rank = np.full((len(part), len(pivots)), prefix, np.int16)
                 np.put_along_axis(rank, qo.astype(np.int64), np.arange(prefix, dtype=np.int16)[None, :], 1)
                 far = footrule(rank, ho)
                 for i in range(len(part)):
                     near = np.arange(len(hid)) if len(hid) <= share else np.argpartition(far[i], share - 1)[:share]
                     near = near[hid[near] != qid[i]]
-                    score = np.array((hv[near] * qv[i]).sum(1))
+                    score = hv[near].astype(np.float64) @ qv[i]
                     best = np.lexsort((hid[near], -score))[: k + 20]
                     out += [(int(qid[i]), int(hid[near][b]), float(score[b])) for b in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
