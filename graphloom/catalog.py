@@ -1,9 +1,13 @@
-"""Queries over the reference tables and their SQL."""
+"""Queries over the reference tables and the SQL that states the same."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from graphloom import catalog_data, catalog_graph
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return catalog_graph.Q | catalog_data.Q
+
+
+def oracle_sql() -> dict[str, str]:
+    return catalog_graph.O | catalog_data.O
