@@ -1 +1,560 @@
+"""Telemetry, text, registry, release and execution-analytics queries, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from graphloom.functions.scalars import iso_utc, safe_label, sentences, source_anchor, source_path, word_count
+from graphloom.operators import telemetry as T
+from graphloom.operators import textlint as X
+from graphloom.session import table
+from graphloom.streaming import events as E
+
 Q, O = {}, {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        Q[f.__name__] = f
+        if sql:
+            O[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def r6(x):
+    return F.round(x, 6)
+
+
+# ---- telemetry -------------------------------------------------------------------------------------------------
+
+
+def _lines(spark, d):
+    """Event rows as JSON lines; every hundredth is broken and every ninety-seventh blank."""
+    e = table(spark, d, "events")
+    body = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), "event_type", F.col("user_id").cast("string").alias("user"), "value"))
+    line = F.when(F.col("event_id") % 100 == 7, F.lit("[1]")).when(F.col("event_id") % 97 == 5, F.lit(" ")).otherwise(body)
+    return e.select(F.col("event_id").alias("ord"), line.alias("line"))
+
+
+@query("SELECT event_id AS ord FROM events ORDER BY event_id DESC LIMIT 200")
+def tel_tail(spark, d):
+    return T.tail(_lines(spark, d), 200).select("ord")
+
+
+@query("SELECT CASE WHEN event_id % 100 = 7 THEN 'malformed' WHEN event_id % 97 = 5 THEN 'blank' ELSE 'parsed' END AS state, count(*) AS n FROM events GROUP BY 1")
+def tel_accounting(spark, d):
+    return T.parse_rows(_lines(spark, d)).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last FROM (SELECT date_trunc('second', ts) AS ts FROM events WHERE event_id % 100 <> 7 AND event_id % 97 <> 5) WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'")
+def tel_window(spark, d):
+    rows = T.parse_rows(_lines(spark, d)).filter("state = 'parsed'").select("row.*").withColumn("t", T.timestamp_of("ts"))
+    held = rows.filter(F.col("t").between(1704412800, 1704844800))
+    return held.agg(F.count("*").alias("n"), iso_utc(F.min("t")).alias("first"), iso_utc(F.max("t")).alias("last"))
+
+
+@query("SELECT event_type AS label, count(*) AS n FROM events WHERE event_id % 100 <> 7 AND event_id % 97 <> 5 GROUP BY 1")
+def tel_event_counts(spark, d):
+    return T.label_counts(T.parse_rows(_lines(spark, d)).filter("state = 'parsed'").select("row.*"), ["event_type"])
+
+
+@query("WITH p AS (SELECT * FROM events WHERE event_id % 100 <> 7 AND event_id % 97 <> 5) SELECT 'ts' AS field, count(ts) AS n FROM p UNION ALL SELECT 'event_type', count(event_type) FROM p UNION ALL SELECT 'user', count(user_id) FROM p UNION ALL SELECT 'value', count(value) FROM p")
+def tel_field_counts(spark, d):
+    return T.field_counts(T.parse_rows(_lines(spark, d)).filter("state = 'parsed'").select("row.*"), ["ts", "event_type", "user", "value", "k"]).filter("n > 0")
+
+
+SUMMARY = "count(value) AS n, round(min(value), 6) AS min, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS median, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max, round(stddev_pop(value), 6) AS sd"
+
+
+@query(f"SELECT {SUMMARY} FROM events")
+def tel_numeric_summary(spark, d):
+    return T.summary(table(spark, d, "events"), "value")
+
+
+@query(f"SELECT event_type, {SUMMARY} FROM events GROUP BY event_type")
+def tel_group_metrics(spark, d):
+    return T.summary(table(spark, d, "events"), "value", ["event_type"])
+
+
+LABELS = "('ok'), (''), (NULL), ('my_token'), ('0123456789abcdef01'), ('a;b'), ('fill'), ('" + "x" * 70 + "')"
+
+
+@query(f"SELECT v AS raw, CASE WHEN v IS NULL OR trim(v) = '' THEN 'unknown' WHEN regexp_matches(lower(v), 'secret|token|password|passwd|api_key|apikey|private|wallet|auth|key') OR length(v) > 64 OR regexp_matches(v, '^(0x)?[0-9a-fA-F]{{16,}}$') OR NOT regexp_full_match(v, '[A-Za-z0-9 ._:/+-]*') THEN 'redacted_label' ELSE v END AS shown FROM (VALUES {LABELS}) t(v)")
+def tel_redaction(spark, d):
+    return spark.sql(f"SELECT v AS raw FROM VALUES {LABELS} AS t(v)").select("raw", safe_label("raw").alias("shown"))
+
+
+# ---- text ------------------------------------------------------------------------------------------------------
+
+EN = "(SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '`[^`]*`', ' ', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), 'https?://[^\\s]+', ' ', 'g'), '[*_]+', '', 'g') AS text FROM documents WHERE lang = 'en')"
+SENT = f"(SELECT path, unnest(range(len(s))) AS n, unnest(s) AS sentence FROM (SELECT path, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(31) || '\\2', 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') AS s FROM {EN}))"
+WORD = "len(regexp_extract_all(sentence, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)*'))"
+
+
+def _english(spark, d):
+    return table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("path"), "text")
+
+
+@query(f"SELECT path, count(*) AS n FROM {SENT} GROUP BY path")
+def txt_sentences(spark, d):
+    return X.sentence_rows(_english(spark, d)).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT path, CAST(sum({WORD}) AS BIGINT) AS words FROM {SENT} GROUP BY path")
+def txt_word_count(spark, d):
+    return X.sentence_rows(_english(spark, d)).groupBy("path").agg(F.sum(word_count("sentence")).alias("words"))
+
+
+@query(f"SELECT path, n, {WORD} AS words FROM {SENT} WHERE {WORD} > 25")
+def txt_long_sentence(spark, d):
+    return X.long_sentences(_english(spark, d))
+
+
+@query(f"SELECT path, count(*) AS n FROM {SENT} GROUP BY path HAVING count(*) > 6")
+def txt_long_paragraph(spark, d):
+    return X.long_paragraphs(_english(spark, d))
+
+
+@query(f"SELECT path, n FROM {SENT} WHERE regexp_matches(sentence, '{X.PASSIVE}')")
+def txt_passive(spark, d):
+    return X.sentence_hits(_english(spark, d), X.PASSIVE)
+
+
+@query(f"SELECT path, n FROM {SENT} WHERE regexp_matches(sentence, '{X.DOUBLE}')")
+def txt_multi_command(spark, d):
+    return X.sentence_hits(_english(spark, d), X.DOUBLE)
+
+
+SAMPLES = [("a", "It can't stop; use the colour e.g. red."), ("b", "NOTE: Click the button."), ("c", "WARNING: Keep clear."), ("d", "WARNING: Risk of fire."), ("e", "A plain line.")]
+SAMPLE_SQL = "(VALUES " + ", ".join("('{}', '{}')".format(p, t.replace("'", "''")) for p, t in SAMPLES) + ") t(path, text)"
+
+
+def _samples(spark):
+    return spark.createDataFrame(SAMPLES, "path string, text string")
+
+
+def _occurs(name: str, pattern: str, rule: str):
+    def run(spark, d):
+        return X.occurrences(_samples(spark), pattern, rule)
+
+    Q[name] = run
+    O[name] = "SELECT path, '{}' AS rule, unnest(regexp_extract_all(text, '{}', 0)) AS detail FROM {}".format(rule, pattern.replace("'", "''"), SAMPLE_SQL)
+
+
+_occurs("txt_contractions", X.CONTRACTIONS, "STE-4.2")
+_occurs("txt_semicolon", ";", "STE-8.1")
+_occurs("txt_spelling", X.BRITISH, "STE-1.14")
+_occurs("txt_latin", X.LATIN, "STE-GR-6")
+
+
+@query(f"SELECT path FROM {SAMPLE_SQL} WHERE text LIKE 'NOTE:%' AND lower(regexp_extract(substr(text, 6), '[A-Za-z]+', 0)) IN {X.IMPERATIVE}")
+def txt_note(spark, d):
+    first = F.lower(F.regexp_extract(F.substring("text", 6, 10000), "[A-Za-z]+", 0))
+    return _samples(spark).filter(F.startswith("text", F.lit("NOTE:")) & first.isin(*X.IMPERATIVE)).select("path")
+
+
+@query(f"SELECT path FROM {SAMPLE_SQL} WHERE regexp_matches(text, '^(WARNING|CAUTION):') AND NOT regexp_matches(text, '{X.RISK}')")
+def txt_safety(spark, d):
+    return _samples(spark).filter(F.col("text").rlike("^(WARNING|CAUTION):") & ~F.col("text").rlike(X.RISK)).select("path")
+
+
+@query(f"SELECT CASE WHEN {WORD} > 25 THEN 'error' ELSE 'none' END AS severity, count(*) AS n FROM {SENT} GROUP BY 1")
+def txt_severity(spark, d):
+    s = X.sentence_rows(_english(spark, d))
+    return s.groupBy(F.when(word_count("sentence") > 25, "error").otherwise("none").alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query()
+def txt_blocks(spark, d):
+    return X.blocks(spark.createDataFrame([("a.md", "---\nx: 1\n---\n# H\n\nOne\ntwo\n\n- item\n- next\n\n```\ncode\n```\nlast")], "path string, text string"))
+
+
+# ---- sources ---------------------------------------------------------------------------------------------------
+
+SECRET = [("private key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("access key", "AKIA[A-Z0-9]{12}"), ("assignment", "(?i)(password|secret|token|api_key)[ ]*[:=]")]
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in SECRET) + " WHEN strlen(text) > 2097152 THEN 'too large' ELSE 'ok' END AS verdict FROM documents")
+def sec_preflight(spark, d):
+    docs = table(spark, d, "documents")
+    verdict = None
+    for name, p in SECRET:
+        hit = F.col("text").rlike(p)
+        verdict = F.when(hit, name) if verdict is None else verdict.when(hit, name)
+    return docs.select("doc_id", verdict.when(F.octet_length("text") > 2097152, "too large").otherwise("ok").alias("verdict"))
+
+
+@query("SELECT doc_id, line, regexp_replace(trim(t), '\\s+', ' ', 'g') AS snippet FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE contains(lower(t), 'license') OR (contains(lower(t), 'the') AND contains(lower(t), 'worthless')) ORDER BY doc_id, line LIMIT 40")
+def src_line_search(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "t"))
+    low = F.lower("t")
+    hit = F.contains(low, F.lit("license")) | (F.contains(low, F.lit("the")) & F.contains(low, F.lit("worthless")))
+    return rows.filter(hit).select("doc_id", (F.col("p") + 1).cast("long").alias("line"), F.regexp_replace(F.trim("t"), r"\s+", " ").alias("snippet")).orderBy("doc_id", "line").limit(40)
+
+
+TOC = [(1, "- file: intro"), (2, "caption: Models"), (3, "- file: a"), (4, "- file: b"), (5, "caption: Tools"), (6, "- file: c")]
+TOC_SQL = "(VALUES " + ", ".join(f"({n}, '{t}')" for n, t in TOC) + ") t(line, text)"
+
+
+@query(f"SELECT caption, slug FROM (SELECT line, text, coalesce(last_value(CASE WHEN text LIKE 'caption: %' THEN substr(text, 10) END IGNORE NULLS) OVER (ORDER BY line), 'Uncategorized') AS caption, substr(text, 9) AS slug FROM {TOC_SQL}) WHERE text LIKE '- file: %'")
+def src_toc(spark, d):
+    rows = spark.createDataFrame(TOC, "line int, text string")
+    cap = F.last(F.when(F.startswith("text", F.lit("caption: ")), F.substring("text", 10, 1000)), ignorenulls=True).over(Window.orderBy("line"))
+    return rows.withColumn("caption", F.coalesce(cap, F.lit("Uncategorized"))).filter("text LIKE '- file: %'").select("caption", F.substring("text", 9, 1000).alias("slug"))
+
+
+REFS = "('docs/a.md#L2'), ('docs/a.md'), ('#x'), ('a# b'), ('a#b#c')"
+
+
+@query(f"SELECT v, nullif(regexp_extract(v, '^([^#]+)#([^\\s#].*)$', 1), '') AS path, nullif(regexp_extract(v, '^([^#]+)#([^\\s#].*)$', 2), '') AS anchor FROM (VALUES {REFS}) t(v)")
+def src_reference(spark, d):
+    return spark.sql(f"SELECT v FROM VALUES {REFS} AS t(v)").select("v", source_path("v").alias("path"), source_anchor("v").alias("anchor"))
+
+
+# ---- release and registry --------------------------------------------------------------------------------------
+
+MANIFESTS = "('a', 'pyproject.toml', 'version = \"1.2.3\"'), ('a', 'package.json', '\"version\": \"1.2.3\"'), ('b', 'pyproject.toml', 'version = \"0.4.0\"'), ('b', 'package.json', '\"version\": \"0.5.0\"'), ('c', 'readme', 'none')"
+VERSION = 'version"?[ ]*[=:][ ]*"([^"]+)"'
+
+
+@query(f"SELECT repo, path, regexp_extract(text, '{VERSION}', 1) AS version FROM (VALUES {MANIFESTS}) t(repo, path, text) WHERE regexp_extract(text, '{VERSION}', 1) <> ''")
+def rel_versions(spark, d):
+    m = spark.sql(f"SELECT * FROM VALUES {MANIFESTS} AS t(repo, path, text)")
+    return m.select("repo", "path", F.regexp_extract("text", VERSION, 1).alias("version")).filter("version <> ''")
+
+
+GIT = "('a', 'v1.2.3', 0), ('b', 'v0.1.0', 2), ('c', NULL, 0)"
+
+
+@query(
+    f"WITH m AS (SELECT repo, nullif(regexp_extract(text, '{VERSION}', 1), '') AS version FROM (VALUES {MANIFESTS}) t(repo, path, text)), g AS (SELECT * FROM (VALUES {GIT}) t(repo, tag, dirty)), "
+    "v AS (SELECT repo, count(DISTINCT version) AS n FROM m GROUP BY repo), f AS (SELECT repo, 'no_version_metadata' AS code FROM v WHERE n = 0 UNION ALL SELECT repo, 'inconsistent_versions' FROM v WHERE n > 1 UNION ALL SELECT repo, 'dirty_worktree' FROM g WHERE dirty > 0 UNION ALL SELECT DISTINCT g.repo, 'tag_collision' FROM g JOIN m ON g.repo = m.repo AND g.tag IN (m.version, 'v' || m.version)) "
+    "SELECT repo, code, CASE WHEN count(*) FILTER (WHERE code <> 'no_version_metadata') OVER (PARTITION BY repo) > 0 THEN 'blocked' ELSE 'ready' END AS status FROM f"
+)
+def rel_preflight(spark, d):
+    m = spark.sql(f"SELECT * FROM VALUES {MANIFESTS} AS t(repo, path, text)").select("repo", F.nullif(F.regexp_extract("text", VERSION, 1), F.lit("")).alias("version"))
+    g = spark.sql(f"SELECT * FROM VALUES {GIT} AS t(repo, tag, dirty)")
+    v = m.groupBy("repo").agg(F.count_distinct("version").alias("n"))
+    code = lambda df, c: df.select("repo", F.lit(c).alias("code"))
+    hit = g.join(m, "repo").filter(F.col("tag").isin(F.col("version")) | (F.col("tag") == F.concat(F.lit("v"), F.col("version")))).select("repo").distinct()
+    f = code(v.filter("n = 0"), "no_version_metadata").unionByName(code(v.filter("n > 1"), "inconsistent_versions")).unionByName(code(g.filter("dirty > 0"), "dirty_worktree")).unionByName(code(hit, "tag_collision"))
+    block = F.sum(F.when(F.col("code") != "no_version_metadata", 1).otherwise(0)).over(Window.partitionBy("repo"))
+    return f.select("repo", "code", F.when(block > 0, "blocked").otherwise("ready").alias("status"))
+
+
+SKILLS, DIRS = "('a', '1.0.0'), ('b', '1.x'), ('Bad_Name', '2.0.0'), ('c', '1.0.0')", "('a', '1.0.0'), ('b', '1.x'), ('Bad_Name', '2.1.0'), ('d', '1.0.0')"
+
+
+@query(f"WITH s AS (SELECT * FROM (VALUES {SKILLS}) t(name, version)), d AS (SELECT * FROM (VALUES {DIRS}) t(name, version)) SELECT name, 'bad name' AS finding FROM s WHERE NOT regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*') UNION ALL SELECT name, 'bad version' FROM s WHERE NOT regexp_full_match(version, '[0-9]+\\.[0-9]+\\.[0-9]+') UNION ALL SELECT s.name, 'version differs' FROM s JOIN d ON s.name = d.name WHERE s.version <> d.version UNION ALL SELECT name, 'no directory' FROM s WHERE name NOT IN (SELECT name FROM d) UNION ALL SELECT name, 'not registered' FROM d WHERE name NOT IN (SELECT name FROM s)")
+def reg_validate(spark, d):
+    s, o = spark.sql(f"SELECT * FROM VALUES {SKILLS} AS t(name, version)"), spark.sql(f"SELECT * FROM VALUES {DIRS} AS t(name, version)")
+    both = s.join(o.withColumnRenamed("version", "dv").withColumn("dir", F.lit(True)), "name", "full")
+    checks = F.array_compact(
+        F.array(
+            F.when(F.col("version").isNotNull() & ~F.col("name").rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), "bad name"),
+            F.when(~F.col("version").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"), "bad version"),
+            F.when(F.col("version") != F.col("dv"), "version differs"),
+            F.when(F.col("dir").isNull(), "no directory"),
+            F.when(F.col("version").isNull(), "not registered"),
+        )
+    )
+    return both.select("name", F.explode(checks).alias("finding"))
+
+
+WANTED, FOUND = "('a', 'h1'), ('b', 'h2'), ('c', 'h3')", "('a', 'h1', true), ('b', 'hx', false)"
+
+
+@query(f"SELECT w.name, CASE WHEN f.name IS NULL THEN 'missing' WHEN f.link THEN 'synced' WHEN f.hash = w.hash THEN 'synced-copy' ELSE 'conflict' END AS state FROM (VALUES {WANTED}) w(name, hash) LEFT JOIN (VALUES {FOUND}) f(name, hash, link) ON f.name = w.name")
+def reg_install_plan(spark, d):
+    w = spark.sql(f"SELECT * FROM VALUES {WANTED} AS t(name, hash)")
+    f = spark.sql(f"SELECT * FROM VALUES {FOUND} AS t(name, has, link)").withColumn("there", F.lit(True))
+    state = F.when(F.col("there").isNull(), "missing").when(F.col("link"), "synced").when(F.col("has") == F.col("hash"), "synced-copy").otherwise("conflict")
+    return w.join(f, "name", "left").select("name", state.alias("state"))
+
+
+GATES = "('r1', 'tests', 'PASS'), ('r1', 'docs', 'PASS'), ('r2', 'tests', 'FAIL'), ('r2', 'docs', 'PASS'), ('r3', 'tests', 'UNKNOWN')"
+
+
+@query(f"SELECT candidate, CASE WHEN bool_and(state = 'PASS') THEN 'READY' ELSE 'BLOCKED' END AS status FROM (VALUES {GATES}) t(candidate, gate, state) GROUP BY candidate")
+def rel_gate_rollup(spark, d):
+    gts = spark.sql(f"SELECT * FROM VALUES {GATES} AS t(candidate, gate, state)")
+    return gts.groupBy("candidate").agg(F.when(F.bool_and(F.col("state") == "PASS"), "READY").otherwise("BLOCKED").alias("status"))
+
+
+# ---- transaction costs: lines as fills, orders as parents, the part's mean price as benchmark --------------------
+
+FILLS = "(SELECT l_orderkey, l_partkey, l_quantity AS qty, l_extendedprice / l_quantity AS px, l_extendedprice * l_tax AS fee, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END AS side, l_shipdate, l_returnflag, b.bench FROM lineitem JOIN (SELECT l_partkey AS pk, sum(l_extendedprice) / sum(l_quantity) AS bench FROM lineitem GROUP BY 1) b ON b.pk = l_partkey)"
+
+
+def fills(spark, d):
+    """Fills with the volume-weighted mean price of their part. The benchmark has a row a part, so it is joined, not windowed."""
+    li = table(spark, d, "lineitem")
+    bench = li.groupBy("l_partkey").agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("bench"))
+    return li.join(bench, "l_partkey").select("l_orderkey", "l_partkey", F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), (F.col("l_extendedprice") * F.col("l_tax")).alias("fee"), F.when(F.col("l_linestatus") == "O", 1).otherwise(-1).alias("side"), "l_shipdate", "l_returnflag", "bench")
+
+
+def cost():
+    return F.expr("side * (px - bench) * qty")
+
+
+def notional():
+    return F.expr("bench * qty")
+
+
+@query(f"SELECT l_returnflag, side, count(*) AS n, round(sum(side * (px - bench) * qty), 2) AS cost FROM {FILLS} GROUP BY 1, 2")
+def tca_fill_cost(spark, d):
+    return fills(spark, d).groupBy("l_returnflag", "side").agg(F.count("*").alias("n"), F.round(F.sum(cost()), 2).alias("cost"))
+
+
+@query(f"SELECT l_orderkey, round(1e4 * sum(side * (px - bench) * qty) / sum(bench * qty), 3) AS bps FROM {FILLS} GROUP BY 1")
+def tca_parent_cost(spark, d):
+    return fills(spark, d).groupBy("l_orderkey").agg(F.round(1e4 * F.sum(cost()) / F.sum(notional()), 3).alias("bps"))
+
+
+@query(f"SELECT side, round(sum(side * (px - bench) * qty), 2) AS executed, round(sum(fee), 2) AS explicit, round(sum(side * (px - bench) * qty) + sum(fee), 2) AS total FROM {FILLS} GROUP BY side")
+def tca_bridge(spark, d):
+    return fills(spark, d).groupBy("side").agg(F.round(F.sum(cost()), 2).alias("executed"), F.round(F.sum("fee"), 2).alias("explicit"), F.round(F.sum(cost()) + F.sum("fee"), 2).alias("total"))
+
+
+@query(f"SELECT l_returnflag, side, count(*) AS n, round(1e4 * sum(side * (px - bench) * qty) / sum(bench * qty), 4) AS bps FROM {FILLS} GROUP BY GROUPING SETS ((l_returnflag, side), (side), ())")
+def tca_strata(spark, d):
+    f = fills(spark, d)
+    return f.groupingSets([[F.col("l_returnflag"), F.col("side")], [F.col("side")], []], F.col("l_returnflag"), F.col("side")).agg(F.count("*").alias("n"), F.round(1e4 * F.sum(cost()) / F.sum(notional()), 4).alias("bps"))
+
+
+@query(f"WITH p AS (SELECT side, 1e4 * side * (px - bench) / bench AS bps FROM {FILLS}), q AS (SELECT side, quantile_cont(bps, 0.95) AS q95 FROM p GROUP BY side) SELECT p.side, round(median(bps), 4) AS median, round(any_value(q95), 4) AS p95, round(avg(bps) FILTER (WHERE bps >= q95), 4) AS shortfall FROM p JOIN q ON p.side = q.side GROUP BY p.side")
+def tca_tails(spark, d):
+    p = fills(spark, d).select("side", (1e4 * F.col("side") * (F.col("px") - F.col("bench")) / F.col("bench")).alias("bps"))
+    q = p.groupBy("side").agg(F.percentile("bps", 0.95).alias("q95"), F.percentile("bps", 0.5).alias("m"))
+    return p.join(q, "side").groupBy("side").agg(F.round(F.first("m"), 4).alias("median"), F.round(F.first("q95"), 4).alias("p95"), F.round(F.avg(F.when(F.col("bps") >= F.col("q95"), F.col("bps"))), 4).alias("shortfall"))
+
+
+@query("WITH v AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'view'), c AS (SELECT user_id, ts, event_id FROM events WHERE event_type <> 'view') SELECT c.event_id, (SELECT value FROM v WHERE v.user_id = c.user_id AND v.ts <= c.ts ORDER BY v.ts DESC, v.event_id DESC LIMIT 1) AS quote FROM c")
+def tca_asof_benchmark(spark, d):
+    """Latest view of the user at or before each other event: one ordered pass over both streams, no range join."""
+    e = table(spark, d, "events").withColumn("is_view", F.coalesce(F.col("event_type") == "view", F.lit(False)))
+    w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("is_view"), 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("is_view"), F.struct("value")), ignorenulls=True).over(w)
+    return e.withColumn("q", last).filter(~F.col("is_view")).select("event_id", F.col("q.value").alias("quote"))
+
+
+@query(f"WITH p AS (SELECT side, CAST(floor(qty / 10) AS BIGINT) AS bucket, 1e4 * side * (px - bench) / bench AS bps FROM {FILLS}) SELECT bucket, round(avg(bps) FILTER (WHERE side = 1) - avg(bps) FILTER (WHERE side = -1), 4) AS gap FROM p GROUP BY bucket")
+def tca_matched(spark, d):
+    p = fills(spark, d).select("side", F.floor(F.col("qty") / 10).cast("long").alias("bucket"), (1e4 * F.col("side") * (F.col("px") - F.col("bench")) / F.col("bench")).alias("bps"))
+    mean = lambda s: F.avg(F.when(F.col("side") == s, F.col("bps")))
+    return p.groupBy("bucket").agg(F.round(mean(1) - mean(-1), 4).alias("gap"))
+
+
+# ---- volume ----------------------------------------------------------------------------------------------------
+
+DAILY = "(SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS volume, sum(value) AS value FROM events GROUP BY 1, 2)"
+
+
+def daily(spark, d):
+    return table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("volume"), F.sum("value").alias("value"))
+
+
+@query(f"SELECT event_type, CAST(day AS VARCHAR) AS day, volume FROM {DAILY}")
+def vol_daily(spark, d):
+    return daily(spark, d).select("event_type", F.col("day").cast("string").alias("day"), "volume")
+
+
+@query(f"SELECT event_type, CAST(day AS VARCHAR) AS day, round(avg(volume) OVER w, 6) AS mean5, median(volume) OVER w AS median5 FROM {DAILY} WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
+def vol_rolling_mean_median(spark, d):
+    w = Window.partitionBy("event_type").orderBy("day").rowsBetween(-5, -1)
+    s = F.sort_array(F.collect_list("volume").over(w))
+    n = F.size("s")
+    med = F.when(n > 0, (F.element_at("s", F.floor((n + 1) / 2).cast("int")) + F.element_at("s", F.floor(n / 2).cast("int") + 1)) / 2)
+    return daily(spark, d).withColumns({"mean5": r6(F.avg("volume").over(w)), "s": s}).withColumn("median5", med).select("event_type", F.col("day").cast("string").alias("day"), "mean5", "median5")
+
+
+HOURS = "(SELECT hour(ts) AS h, count(*) AS v FROM events GROUP BY 1)"
+
+
+@query(f"SELECT h, round(sum(v) OVER (ORDER BY h) / sum(v) OVER (), 6) AS fraction FROM {HOURS}")
+def vol_curve(spark, d):
+    h = table(spark, d, "events").groupBy(F.hour("ts").cast("long").alias("h")).agg(F.count("*").alias("v"))
+    total = h.agg(F.sum("v").alias("t"))  # 24 rows at most
+    return h.crossJoin(total).select("h", r6(F.sum("v").over(Window.orderBy("h")) / F.col("t")).alias("fraction"))
+
+
+@query("WITH x AS (SELECT CAST(ts AS DATE) AS day, hour(ts) AS h, count(*) AS v FROM events GROUP BY 1, 2) SELECT CAST(day AS VARCHAR) AS day, h, CAST(sum(v) OVER (PARTITION BY day) - sum(v) OVER (PARTITION BY day ORDER BY h) AS BIGINT) AS remaining FROM x")
+def vol_remaining(spark, d):
+    x = table(spark, d, "events").groupBy(F.to_date("ts").alias("day"), F.hour("ts").cast("long").alias("h")).agg(F.count("*").alias("v"))
+    w = Window.partitionBy("day")
+    return x.select(F.col("day").cast("string").alias("day"), "h", (F.sum("v").over(w) - F.sum("v").over(w.orderBy("h"))).alias("remaining"))
+
+
+@query(f"WITH f AS (SELECT event_type, volume, avg(volume) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS p FROM {DAILY}) SELECT event_type, round(avg(p - volume), 6) AS bias, round(avg(abs(p - volume)), 6) AS mae, round(sqrt(avg((p - volume) * (p - volume))), 6) AS rmse, round(avg(CASE WHEN p < volume THEN 1.0 ELSE 0.0 END), 6) AS under FROM f WHERE p IS NOT NULL GROUP BY event_type")
+def vol_forecast_error(spark, d):
+    w = Window.partitionBy("event_type").orderBy("day").rowsBetween(-5, -1)
+    f = daily(spark, d).withColumn("p", F.avg("volume").over(w)).filter("p IS NOT NULL").withColumn("e", F.col("p") - F.col("volume"))
+    return f.groupBy("event_type").agg(r6(F.avg("e")).alias("bias"), r6(F.avg(F.abs("e"))).alias("mae"), r6(F.sqrt(F.avg(F.col("e") * F.col("e")))).alias("rmse"), r6(F.avg(F.when(F.col("e") < 0, 1.0).otherwise(0.0))).alias("under"))
+
+
+# ---- risk ------------------------------------------------------------------------------------------------------
+
+RET = f"(SELECT event_type, day, value / lag(value) OVER (PARTITION BY event_type ORDER BY day) - 1 AS ret FROM {DAILY})"
+
+
+def returns(spark, d):
+    w = Window.partitionBy("event_type").orderBy("day")
+    return daily(spark, d).withColumn("ret", F.col("value") / F.lag("value").over(w) - 1).select("event_type", "day", "ret")
+
+
+@query(f"SELECT event_type, CAST(day AS VARCHAR) AS day, round(ret, 6) AS ret FROM {RET}")
+def risk_returns(spark, d):
+    return returns(spark, d).select("event_type", F.col("day").cast("string").alias("day"), r6("ret").alias("ret"))
+
+
+@query(f"SELECT event_type, CAST(day AS VARCHAR) AS day, round(stddev_samp(ret) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS vol FROM {RET} WHERE ret IS NOT NULL")
+def risk_rolling_vol(spark, d):
+    w = Window.partitionBy("event_type").orderBy("day").rowsBetween(-9, 0)
+    return returns(spark, d).filter("ret IS NOT NULL").select("event_type", F.col("day").cast("string").alias("day"), r6(F.stddev_samp("ret").over(w)).alias("vol"))
+
+
+@query(f"WITH r AS (SELECT event_type, ret, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) - 1 AS k FROM {RET} WHERE ret IS NOT NULL) SELECT event_type, round(sum(pow(0.94, k) * ret * ret) / sum(pow(0.94, k)), 6) AS ewma FROM r GROUP BY event_type")
+def risk_ewma(spark, d):
+    w = Window.partitionBy("event_type").orderBy(F.desc("day"))
+    x = returns(spark, d).filter("ret IS NOT NULL").withColumn("k", F.pow(F.lit(0.94), F.row_number().over(w) - 1))
+    return x.groupBy("event_type").agg(r6(F.sum(F.col("k") * F.col("ret") * F.col("ret")) / F.sum("k")).alias("ewma"))
+
+
+COV = f"(SELECT a.event_type AS i, b.event_type AS j, covar_samp(a.ret, b.ret) AS cov FROM {RET} a JOIN {RET} b ON a.day = b.day WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2)"
+
+
+def covariance(spark, d):
+    r = returns(spark, d).filter("ret IS NOT NULL")
+    a, b = r.select(F.col("event_type").alias("i"), "day", F.col("ret").alias("x")), r.select(F.col("event_type").alias("j"), "day", F.col("ret").alias("y"))
+    return a.join(b, "day").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"))
+
+
+@query(f"SELECT i, j, round(cov, 6) AS cov FROM {COV}")
+def risk_cov(spark, d):
+    return covariance(spark, d).select("i", "j", r6("cov").alias("cov"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity, 2) AS qty, round(sum(l_quantity) OVER (PARTITION BY l_orderkey) - sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE UNBOUNDED PRECEDING), 2) AS residual FROM lineitem")
+def risk_residual_path(spark, d):
+    w = Window.partitionBy("l_orderkey")
+    left = F.sum("l_quantity").over(w) - F.sum("l_quantity").over(w.orderBy("l_linenumber").rangeBetween(Window.unboundedPreceding, 0))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round("l_quantity", 2).alias("qty"), F.round(left, 2).alias("residual"))
+
+
+@query(f"WITH w AS (SELECT event_type AS k, count(*) / (SELECT count(*) FROM events) AS x FROM events GROUP BY 1) SELECT round(sum(a.x * cov * b.x), 6) AS variance FROM {COV} c JOIN w a ON a.k = c.i JOIN w b ON b.k = c.j")
+def risk_quadratic(spark, d):
+    e = table(spark, d, "events")
+    w = e.groupBy(F.col("event_type").alias("k")).agg(F.count("*").alias("n")).crossJoin(e.agg(F.count("*").alias("t"))).select("k", (F.col("n") / F.col("t")).alias("x"))
+    c = covariance(spark, d).join(w.select(F.col("k").alias("i"), F.col("x").alias("xi")), "i").join(w.select(F.col("k").alias("j"), F.col("x").alias("xj")), "j")
+    return c.agg(r6(F.sum(F.col("xi") * F.col("cov") * F.col("xj"))).alias("variance"))
+
+
+# ---- model validation ------------------------------------------------------------------------------------------
+
+
+@query("WITH b AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), c AS (SELECT day, n, (sum(n) OVER (ORDER BY day) - n) / sum(n) OVER () AS p FROM b) SELECT CASE WHEN p < 0.6 THEN 'train' WHEN p < 0.8 THEN 'validate' ELSE 'test' END AS part, CAST(sum(n) AS BIGINT) AS n, CAST(min(day) AS VARCHAR) AS first FROM c GROUP BY 1")
+def val_split(spark, d):
+    """Chronological split on daily counts: the ordered pass sees one row a day, not one an event."""
+    b = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    total = b.agg(F.sum("n").alias("t"))
+    p = (F.sum("n").over(Window.orderBy("day")) - F.col("n")) / F.col("t")
+    part = F.when(F.col("p") < 0.6, "train").when(F.col("p") < 0.8, "validate").otherwise("test")
+    return b.crossJoin(total).withColumn("p", p).groupBy(part.alias("part")).agg(F.sum("n").alias("n"), F.min("day").cast("string").alias("first"))
+
+
+@query("SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20' AND ts + INTERVAL 2 DAY < TIMESTAMP '2024-01-20'")
+def val_purge(spark, d):
+    e = table(spark, d, "events")
+    return e.filter((F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("ts") + F.expr("INTERVAL 2 DAYS") < F.lit("2024-01-20").cast("timestamp_ntz"))).select("event_id")
+
+
+SCORED = "(SELECT d.doc_id, least(0.99, greatest(0.01, d.n_chars / 5000.0)) AS p, quality AS y FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
+
+
+def scored(spark, d):
+    p = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col("n_chars") / 5000.0))
+    return table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id").select("doc_id", p.alias("p"), F.col("quality").alias("y"))
+
+
+@query(f"SELECT CAST(floor(p * 10) AS BIGINT) AS bucket, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM {SCORED} GROUP BY 1")
+def val_calibration(spark, d):
+    return scored(spark, d).groupBy(F.floor(F.col("p") * 10).cast("long").alias("bucket")).agg(F.count("*").alias("n"), r6(F.avg("p")).alias("mean_p"), r6(F.avg("y")).alias("rate"))
+
+
+@query(f"SELECT round(avg((p - y) * (p - y)), 6) AS brier, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS log_loss FROM {SCORED}")
+def val_binary_metrics(spark, d):
+    s = scored(spark, d)
+    return s.agg(r6(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y")))).alias("brier"), r6(-F.avg(F.col("y") * F.ln("p") + (1 - F.col("y")) * F.ln(1 - F.col("p")))).alias("log_loss"))
+
+
+@query("WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.1) AS lo, quantile_cont(o_totalprice, 0.9) AS hi FROM orders GROUP BY 1) SELECT o.o_orderpriority, round(avg(CASE WHEN o_totalprice BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM orders o JOIN q ON q.o_orderpriority = o.o_orderpriority GROUP BY 1")
+def val_interval_coverage(spark, d):
+    o = table(spark, d, "orders").select("o_orderpriority", "o_totalprice")
+    q = o.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
+    inside = F.col("o_totalprice").between(F.col("q")[0], F.col("q")[1])
+    return o.join(q, "o_orderpriority").groupBy("o_orderpriority").agg(r6(F.avg(F.when(inside, 1.0).otherwise(0.0))).alias("coverage"))
+
+
+# ---- portfolios ------------------------------------------------------------------------------------------------
+
+HOLD = "(SELECT c_mktsegment AS k, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS cur, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS target FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)"
+
+
+def holdings(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_totalprice")
+    j = o.join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    part = lambda s: F.sum(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
+    return j.groupBy(F.col("c_mktsegment").alias("k")).agg(part("F").alias("cur"), part("O").alias("target"))
+
+
+@query(f"SELECT k, CASE WHEN abs(coalesce(target, 0) - coalesce(cur, 0)) < 100000 THEN 'hold' WHEN target > cur THEN 'buy' ELSE 'sell' END AS action, round(coalesce(target, 0) - coalesce(cur, 0), 2) AS trade FROM {HOLD}")
+def pf_trade_list(spark, d):
+    trade = F.coalesce("target", F.lit(0.0)) - F.coalesce("cur", F.lit(0.0))
+    return holdings(spark, d).select("k", F.when(F.abs(trade) < 100000, "hold").when(F.col("target") > F.col("cur"), "buy").otherwise("sell").alias("action"), F.round(trade, 2).alias("trade"))
+
+
+@query(f"SELECT k, round(0.01 * abs(target - cur) - 0.001 * abs(target - cur) - 0.0001 * pow(abs(target - cur), 1.1), 2) AS net FROM {HOLD}")
+def pf_net_benefit(spark, d):
+    t = F.abs(F.col("target") - F.col("cur"))
+    return holdings(spark, d).select("k", F.round(0.01 * t - 0.001 * t - 0.0001 * F.pow(t, F.lit(1.1)), 2).alias("net"))
+
+
+@query(f"SELECT l AS lambda, round(sum(abs(target - cur)) / (1 + l), 2) AS risk, round(sum(abs(target - cur)) * l / (1 + l), 2) AS cost FROM {HOLD}, (SELECT unnest(range(5)) AS l) GROUP BY l")
+def pf_frontier(spark, d):
+    grid = spark.range(5).select(F.col("id").alias("lambda"))
+    size = holdings(spark, d).agg(F.sum(F.abs(F.col("target") - F.col("cur"))).alias("t"))
+    return grid.crossJoin(size).select("lambda", F.round(F.col("t") / (1 + F.col("lambda")), 2).alias("risk"), F.round(F.col("t") * F.col("lambda") / (1 + F.col("lambda")), 2).alias("cost"))
+
+
+@query(f"SELECT CAST(pow(10, c) AS BIGINT) AS capital, k, round(0.05 * pow(10, c) - 0.1 * pow(pow(10, c), 1.5) / sqrt(cur), 4) AS net FROM {HOLD}, (SELECT unnest(range(2, 6)) AS c)")
+def pf_capacity(spark, d):
+    grid = spark.range(2, 6).select(F.pow(F.lit(10.0), F.col("id")).alias("c"))
+    return holdings(spark, d).crossJoin(grid).select(F.col("c").cast("long").alias("capital"), "k", F.round(0.05 * F.col("c") - 0.1 * F.pow("c", F.lit(1.5)) / F.sqrt("cur"), 4).alias("net"))
+
+
+@query(f"SELECT name, round(sum(cur * vol) , 2) AS loss FROM {HOLD}, (VALUES ('base', 0.01), ('double', 0.02), ('crash', 0.1)) s(name, vol) GROUP BY name")
+def pf_stress(spark, d):
+    s = spark.sql("SELECT * FROM VALUES ('base', 0.01D), ('double', 0.02D), ('crash', 0.1D) AS s(name, vol)")
+    return holdings(spark, d).crossJoin(s).groupBy("name").agg(F.round(F.sum(F.col("cur") * F.col("vol")), 2).alias("loss"))
+
+
+@query("SELECT x, round(0.1 * x, 6) AS linear, round(pow(x, 0.5), 6) AS concave, round(pow(x, 1.5), 6) AS convex FROM (SELECT unnest(range(1, 21)) / 10.0 AS x)")
+def imp_curves(spark, d):
+    x = spark.range(1, 21).select((F.col("id") / 10.0).alias("x"))
+    return x.select("x", r6(0.1 * F.col("x")).alias("linear"), r6(F.pow("x", F.lit(0.5))).alias("concave"), r6(F.pow("x", F.lit(1.5))).alias("convex"))
+
+
+# ---- streaming -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, CAST(date_trunc('day', ts) AS VARCHAR) AS start, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def stream_window_counts(spark, d):
+    return E.window_counts(spark, d)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe_refresh(spark, d):
+    return E.first_seen(spark, d)
