@@ -215,7 +215,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def kept_words(words: list[bytes], spans) -> list[bytes]:
-    if not spans:
+    if spans is None or not len(spans):
         return words
     gone = np.zeros(len(words), bool)
     for x in spans:
