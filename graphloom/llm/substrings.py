@@ -31,7 +31,7 @@ from graphloom.session import input_bytes
 
 LENGTH, TRIPLE = 13, 3
 #: Input bytes that feed one group of suffixes, suffixes in one tree, bytes of text in one batch of the map side.
-GROUP_BYTES, TREE, BATCH_TEXT = 6 << 20, 1 << 20, 12 << 20
+GROUP_BYTES, TREE, BATCH_TEXT = 4 << 20, 1 << 20, 10 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,7 +133,8 @@ def repeats(ids: np.ndarray, heads: np.ndarray, length: int) -> Iterator[tuple[n
 
 def covered(payloads: list[bytes], length: int) -> list[tuple[int, int, int, int]]:
     """(doc, row key, first word, end) spans to remove, of one part."""
-    out, docs, keys, firsts, texts = [], [], [], [], []
+    out, docs, keys, firsts, sizes, flat = [], [], [], [], [], []
+    number: dict[bytes, int] = {}
     unpack = zstandard.ZstdDecompressor().decompress
     for payload in payloads:
         i, k, f, t, settled = pickle.loads(unpack(payload))
@@ -142,18 +143,14 @@ def covered(payloads: list[bytes], length: int) -> list[tuple[int, int, int, int
             docs.append(i)
             keys.append(k)
             firsts.append(f)
-            texts += t.split(b"\n")
+            sizes.append(np.array([x.count(b" ") + 1 for x in t.split(b"\n")], np.int64))
+            flat.append(np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32))
     if not docs:
         return out
     doc, key, first = np.concatenate(docs), np.concatenate(keys), np.concatenate(firsts).astype(np.int64)
-    number: dict[bytes, int] = {}
-    sizes, flat = [], []
-    for t in texts:
-        words = t.split(b" ")
-        sizes.append(len(words))
-        flat += [number.setdefault(w, len(number)) for w in words]
-    ids, size = np.array(flat, np.int64), np.array(sizes, np.int64)
-    del flat, texts
+    del number
+    ids, size = np.concatenate(flat).astype(np.int64), np.concatenate(sizes)
+    del flat
     start = np.cumsum(size) - size
     windows = size - length + 1
     owner = np.repeat(np.arange(len(size)), windows)
