@@ -107,7 +107,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             if full:
                 sig = np.ascontiguousarray(super_minhash([sets[i] for i in full]))
                 raw = sig.reshape(len(full), BANDS, ROWS).view(np.uint64)
-                acc = np.zeros((len(full), BANDS), np.uint64)
+                acc = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(full), BANDS)).copy()  # a key tells its band
                 with np.errstate(over="ignore"):
                     for k in range(ROWS):
                         acc = mixed(acc * MIX + raw[:, :, k])
@@ -232,9 +232,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = cut(signatures(docs))
     classes = signed.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     chosen = signed.join(classes, "set_id").filter(F.col("doc_id") == F.col("rep")).select("rep", "bands")
-    keyed = chosen.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter(F.col("a") != F.col("top"))
-    edges = cut(keyed.join(buckets, ["band", "key"]).filter(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct())
+    # One exchange by key serves the smallest member of a key and the join that links the others to it.
+    keyed = chosen.select("rep", F.explode("bands").alias("key")).repartition("key")
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter(F.col("a") != F.col("top"))
+    edges = cut(keyed.join(buckets, "key").filter(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct())
     links = _verified_links(connected_components(edges), docs)
     joined = connected_components(links)
     named = classes.join(joined, classes["rep"] == joined["id"], "left").select("set_id", F.coalesce("component", "rep").alias("component"))
