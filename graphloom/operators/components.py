@@ -11,8 +11,9 @@ from graphloom.session import cut
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges`` (a, b), undirected -> (id, component): the smallest id reachable, for every id on an edge.
 
-    Each round every node takes the smallest label around it and edges are redrawn between labels, so a round at
-    least halves a chain. Aggregations are combined before the shuffle, so hubs do not pile up in a task.
+    Each round every node points to the smallest node around it, pointers are doubled until all reach a root (so a
+    chain of n takes log n steps), and edges are redrawn between roots. Aggregations are combined before the shuffle,
+    so hubs do not pile up in a task.
     """
     both = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     live = cut(both.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -23,9 +24,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         ways = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # The label of a node is its smallest neighbour's smallest neighbour.
-        jump = low.join(low.select(F.col("a").alias("m"), F.col("m").alias("mm")), "m").select("a", F.least("m", "mm").alias("to"))
-        step = cut(jump)
+        step = cut(low.withColumn("moved", F.lit(True)))
+        while not step.filter("moved").isEmpty():
+            ahead = step.select(F.col("a").alias("m"), F.col("m").alias("next"))
+            step = cut(step.join(ahead, "m").select("a", F.col("next").alias("m"), (F.col("next") != F.col("m")).alias("moved")))
+        step = step.select("a", F.col("m").alias("to"))
         steps.append(step)
         one = live.join(step, "a").select(F.col("to").alias("a"), "b")
         two = one.join(step.withColumnsRenamed({"a": "b", "to": "bt"}), "b").select("a", F.col("bt").alias("b"))
