@@ -174,12 +174,40 @@ def forest(sets: list[np.ndarray], queries: int | None = None) -> list[tuple[int
 LINKS = "a long, b long"
 
 
-def verify(members: DataFrame, by: list[str], docs: DataFrame) -> DataFrame:
-    """``members``: doc_id, grp (verified among themselves), ``by`` (the task's key), role (1: queries against the rest, 0: all).
+#: A group above BLOCK meets its own figures under so many salts, so its members spread over tasks.
+SALTS = 64
 
-    Texts come in by the member's id; each task turns them into full sets.
+
+def _by_group(left: DataFrame, figures: DataFrame, key: str, how: str = "inner", unique: str = "doc_id") -> DataFrame:
+    """``left`` with ``figures`` (one row per large group) by ``key``, without one task that reads a whole group."""
+    salts = figures.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = left.withColumn("salt", F.pmod(F.xxhash64(unique), F.lit(SALTS)).cast("int"))
+    return salted.join(salts, [key, "salt"], how).drop("salt")
+
+
+def candidate_texts(sized: DataFrame, docs: DataFrame, total: int) -> DataFrame:
+    """``sized`` with its documents' texts, as a table.
+
+    Most documents are no candidates. A Bloom filter of the candidates' ids, of bounded size, keeps their texts out of
+    the shuffle; where it is too full to keep out much, the join still decides.
     """
-    bounded_batches(docs)
+    bits = min(max(10 * total, 1 << 16), 1 << 28)
+    name = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": str(1 << 40), "expectedNumItems": str(total), "maxNumItems": str(max(total, 1)), "numBits": str(bits), "maxNumBits": str(bits)}
+    conf = docs.sparkSession.conf
+    before = {k: conf.get(name + k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            conf.set(name + k, v)
+        return cut(sized.filter(F.col("n") >= 2).join(id_and_text(docs), "doc_id"))
+    finally:
+        for k, v in before.items():
+            conf.set(name + k, v)
+
+
+def verify(members: DataFrame, by: list[str]) -> DataFrame:
+    """``members``: doc_id, text, grp (verified among themselves), ``by`` (the task's key), role (1: queries against the rest, 0: all)."""
+    bounded_batches(members)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, out = Memo(xxhash.xxh3_64_intdigest, 400_000), []
@@ -191,18 +219,21 @@ def verify(members: DataFrame, by: list[str], docs: DataFrame) -> DataFrame:
             out += [(ids[i], ids[j]) for i, j in forest(sets, queries or None)]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return members.join(id_and_text(docs), "doc_id").groupBy(*by).applyInPandas(run, LINKS)
+    return members.groupBy(*by).applyInPandas(run, LINKS)
 
 
 def _verified_links(candidate: DataFrame, docs: DataFrame) -> DataFrame:
     """``candidate`` (id, component) -> links (a, b) that hold on full sets."""
-    sizes = candidate.groupBy("component").agg(F.count("*").alias("n"))
-    sized = cut(candidate.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), "n"))
+    big = candidate.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+    known = _by_group(candidate, big, "component", "left", "id")
+    sized = cut(known.select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), F.coalesce("n", F.lit(2)).cast("long").alias("n")))
     total = sized.count()
     tasks = max(1, -(-total // BLOCK))
-    small = sized.filter(F.col("n") <= BLOCK).withColumns({"bin": F.pmod(F.xxhash64("grp"), F.lit(tasks)), "role": F.lit(0)})
-    links = verify(small.select("doc_id", "grp", "bin", "role"), ["bin"], docs)
+    texts = candidate_texts(sized, docs, total)
+    small = texts.filter(F.col("n") <= BLOCK).withColumns({"bin": F.pmod(F.xxhash64("grp"), F.lit(tasks)), "role": F.lit(0)})
+    links = verify(small.select("doc_id", "text", "grp", "bin", "role"), ["bin"])
     large = sized.filter(F.col("n") > BLOCK)
+    told = texts.filter(F.col("n") > BLOCK).select("doc_id", "text")
     if large.isEmpty():
         return cut(links)
     place = F.xxhash64("doc_id", F.lit(1))
@@ -211,20 +242,20 @@ def _verified_links(candidate: DataFrame, docs: DataFrame) -> DataFrame:
     tops = blocked.groupBy("grp", "blocks").agg(F.slice(F.sort_array(F.collect_list(F.when(F.pmod("h", F.col("n")) < 4 * PIVOTS, F.struct("h", "doc_id")))), 1, PIVOTS).alias("p"))
     pivots = tops.select("grp", "blocks", F.explode("p.doc_id").alias("doc_id")).select("grp", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
     first = blocked.select("grp", "doc_id", F.col("block").cast("long").alias("block")).unionByName(pivots).distinct().withColumn("role", F.lit(0))
-    links = cut(links.unionByName(verify(first, ["grp", "block"], docs)))
+    links = cut(links.unionByName(verify(first.join(told, "doc_id"), ["grp", "block"])))
     # What stands outside its group's largest part meets every block of the group.
     part = connected_components(links).withColumnsRenamed({"id": "doc_id", "component": "part"})
     parts = cut(large.join(part, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id")))
     count = parts.groupBy("grp", "part").agg(F.count("*").alias("m"))
     main = count.groupBy("grp").agg(F.max(F.struct("m", F.col("part"))).alias("top")).select("grp", F.col("top.part").alias("main"))
-    rest = cut(parts.join(main, "grp").filter(F.col("part") != F.col("main")).select("grp", "doc_id", "n"))
+    rest = cut(_by_group(parts, main, "grp").filter(F.col("part") != F.col("main")).select("grp", "doc_id", "n"))
     n_rest = rest.groupBy("grp").agg(F.count("*").alias("r"))
     if n_rest.isEmpty():
         return links
-    asked = rest.join(n_rest, "grp").withColumn("row", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("r") / BLOCK)))
+    asked = _by_group(rest, n_rest, "grp").withColumn("row", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("r") / BLOCK)))
     cells = asked.select("grp", "doc_id", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK).cast("long") - 1)).alias("block"), F.lit(1).alias("role"))
-    facing = blocked.join(n_rest, "grp").select("grp", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("r") / BLOCK).cast("long") - 1)).alias("row"), F.col("block").cast("long").alias("block"), F.lit(0).alias("role"))
-    return links.unionByName(cut(verify(cells.unionByName(facing), ["grp", "row", "block"], docs)))
+    facing = _by_group(blocked, n_rest, "grp").select("grp", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("r") / BLOCK).cast("long") - 1)).alias("row"), F.col("block").cast("long").alias("block"), F.lit(0).alias("role"))
+    return links.unionByName(cut(verify(cells.unionByName(facing).join(told, "doc_id"), ["grp", "row", "block"])))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
