@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import Memo, bounded_batches, words_of
@@ -31,7 +33,7 @@ from graphloom.session import input_bytes
 
 LENGTH, TRIPLE = 13, 3
 #: Input bytes that feed one group of suffixes, suffixes in one tree, bytes of text in one batch of the map side.
-GROUP_BYTES, TREE, BATCH_TEXT = 4 << 20, 1 << 20, 10 << 20
+GROUP_BYTES, TREE, BATCH_TEXT = 4 << 20, 1 << 20, 20 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,19 +58,24 @@ def anchors(h: np.ndarray, length: int) -> np.ndarray:
 
 
 def stretches(docs: list[tuple[int, int, list[bytes]]], hashes: Memo, length: int) -> tuple[dict[bytes, list], np.ndarray]:
-    """Stretch text -> [anchor, occurrences (doc, row key, first word, words)] of a batch."""
+    """Stretch text -> [anchor, occurrences (doc, row key, first word, end)] of a batch."""
     found: dict[bytes, list] = {}
     for doc, key, words in docs:
         if len(words) < length:
             continue
-        a = anchors(np.array(list(map(hashes.__getitem__, words)), np.uint64), length)
-        cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
-        for first, end in zip(cuts, cuts[1:]):
-            text = b" ".join(words[first : end + length - 1])
+        n = len(words)
+        a = anchors(np.fromiter(map(hashes.__getitem__, words), np.uint64, n), length)
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)])
+        firsts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
+        ends = np.concatenate([firsts[1:], [len(a)]]) + length - 1
+        whole = b" ".join(words)
+        for first, end, b, e, anchor in zip(firsts.tolist(), ends.tolist(), at[firsts].tolist(), (at[ends] - 1).tolist(), a[firsts].tolist()):
+            text = whole[b:e]
             entry = found.get(text)
             if entry is None:
-                found[text] = entry = [int(a[first]), []]
-            entry[1].append((doc, key, first, end - first + length - 1))
+                found[text] = [anchor, [(doc, key, first, end)]]
+            else:
+                entry[1].append((doc, key, first, end))
     return found
 
 
@@ -80,17 +87,18 @@ def sent_rows(docs: list[tuple[int, int, list[bytes]]], parts: int, hashes: Memo
     by_part: dict[int, tuple[list, list, list, list, list]] = {}
     for text, (anchor, places) in stretches(docs, hashes, length).items():
         ids, keys, firsts, texts, settled = by_part.setdefault(anchor % parts, ([], [], [], [], []))
-        least = min(places)[0]
-        for doc, key, first, n in places:
+        least = places[0][0] if len(places) == 1 else min(places)[0]
+        for doc, key, first, end in places:
             if doc > least:
-                settled.append((doc, key, first, first + n))
+                settled.append((doc, key, first, end))
             else:
                 ids.append(doc)
                 keys.append(key)
                 firsts.append(first)
                 texts.append(text)
-    pack = zstandard.ZstdCompressor(level=1).compress
-    return {p: pack(pickle.dumps((np.array(i, np.int64), np.array(k, np.int64), np.array(f, np.int32), b"\n".join(t), s))) for p, (i, k, f, t, s) in by_part.items()}
+    pack = zstandard.ZstdCompressor(level=3).compress
+    # Ids mostly rise within a batch, so their steps pack well.
+    return {p: pack(pickle.dumps((np.diff(np.array(i, np.int64), prepend=0), np.array(k, np.uint32), np.array(f, np.int32), b"\n".join(t), s), protocol=5)) for p, (i, k, f, t, s) in by_part.items()}
 
 
 def tree_groups(ids: np.ndarray, heads: np.ndarray, depth: int, length: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -120,13 +128,15 @@ def repeats(ids: np.ndarray, heads: np.ndarray, length: int) -> Iterator[tuple[n
     """(suffixes, node number) of all nodes ``length`` words deep with two leaves or more, group by group."""
     wide = int(ids.max()) + 1 if len(ids) else 1
     for group, depth in tree_groups(ids, heads, 0, length):
-        node = np.zeros(len(group), np.int64)
-        for d in range(depth, length):
-            _, node, count = np.unique(node * wide + ids[group + d], return_inverse=True, return_counts=True)
-            many = count[node] > 1
-            group, node = group[many], node[many]
-            if not len(group):
-                break
+        node, nodes = np.zeros(len(group), np.int64), 1
+        while depth < length and len(group):
+            # An edge of the tree holds as many words as fit into one number.
+            edge, span = node, nodes
+            while depth < length and span <= (1 << 62) // wide:
+                edge, span, depth = edge * wide + ids[group + depth], span * wide, depth + 1
+            _, node, leaves = np.unique(edge, return_inverse=True, return_counts=True)
+            many = leaves[node] > 1
+            group, node, nodes = group[many], node[many], len(leaves)
         if len(group):
             yield group, np.unique(node, return_inverse=True)[1]
 
@@ -134,17 +144,19 @@ def repeats(ids: np.ndarray, heads: np.ndarray, length: int) -> Iterator[tuple[n
 def covered(payloads: list[bytes], length: int) -> list[tuple[int, int, int, int]]:
     """(doc, row key, first word, end) spans to remove, of one part."""
     out, docs, keys, firsts, sizes, flat = [], [], [], [], [], []
-    number: dict[bytes, int] = {}
+    number: defaultdict[bytes, int] = defaultdict(count().__next__)
     unpack = zstandard.ZstdDecompressor().decompress
     for payload in payloads:
         i, k, f, t, settled = pickle.loads(unpack(payload))
         out += settled
         if len(i):
-            docs.append(i)
-            keys.append(k)
+            docs.append(np.cumsum(i))
+            keys.append(k.astype(np.int64))
             firsts.append(f)
-            sizes.append(np.array([x.count(b" ") + 1 for x in t.split(b"\n")], np.int64))
-            flat.append(np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32))
+            chars = np.frombuffer(t, np.uint8)
+            breaks = chars[(chars == 10) | (chars == 32)] == 10  # one a gap between words: does a stretch end there
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(breaks), [len(breaks)]])))
+            flat.append(np.fromiter(map(number.__getitem__, t.split()), np.int32, len(breaks) + 1))
     if not docs:
         return out
     doc, key, first = np.concatenate(docs), np.concatenate(keys), np.concatenate(firsts).astype(np.int64)
@@ -173,9 +185,14 @@ def covered(payloads: list[bytes], length: int) -> list[tuple[int, int, int, int
     return out
 
 
+def _row_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart; 32 bits, as every stretch carries it."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row_key"))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), _row_key(text).alias("row_key"))
 
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -247,7 +264,7 @@ def substring_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated stretches taken out of ``text``; a text that loses nothing stays as it is."""
     spans = repeat_spans(docs, length).withColumnsRenamed({"doc_id": "__id", "row_key": "__key", "spans": "__spans"})
-    marked = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    marked = docs.withColumn("__row", _row_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = marked.join(spans, (marked["doc_id"] == spans["__id"]) & (marked["__row"] == spans["__key"]), "left")
 
     @F.pandas_udf("string")
