@@ -24,16 +24,17 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import Memo, bounded_batches, words_of
+from graphloom.llm.text import bounded_batches, words_of
 from graphloom.session import input_bytes
 
 LENGTH, TRIPLE = 13, 3
 #: Input bytes that feed one group of suffixes, suffixes in one tree, bytes of text in one batch of the map side.
-GROUP_BYTES, TREE, BATCH_TEXT = 4 << 20, 1 << 20, 20 << 20
+GROUP_BYTES, TREE, BATCH_TEXT = 4 << 20, 1 << 20, 10 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,10 +44,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
 def anchors(h: np.ndarray, length: int) -> np.ndarray:
     """Smallest triple hash of every window of one document."""
     with np.errstate(over="ignore"):
@@ -57,14 +54,14 @@ def anchors(h: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def stretches(docs: list[tuple[int, int, list[bytes]]], hashes: Memo, length: int) -> tuple[dict[bytes, list], np.ndarray]:
+def stretches(docs: list[tuple[int, int, list[bytes]]], length: int) -> tuple[dict[bytes, list], np.ndarray]:
     """Stretch text -> [anchor, occurrences (doc, row key, first word, end)] of a batch."""
     found: dict[bytes, list] = {}
     for doc, key, words in docs:
         if len(words) < length:
             continue
         n = len(words)
-        a = anchors(np.fromiter(map(hashes.__getitem__, words), np.uint64, n), length)
+        a = anchors(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n), length)
         at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)])
         firsts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
         ends = np.concatenate([firsts[1:], [len(a)]]) + length - 1
@@ -82,11 +79,11 @@ def stretches(docs: list[tuple[int, int, list[bytes]]], hashes: Memo, length: in
 SENT = "part int, payload binary"
 
 
-def sent_rows(docs: list[tuple[int, int, list[bytes]]], parts: int, hashes: Memo, length: int) -> dict[int, bytes]:
-    """For each part: stretches (doc, row key, first word, text) to compare, and spans that the batch settles itself."""
-    by_part: dict[int, tuple[list, list, list, list, list]] = {}
-    for text, (anchor, places) in stretches(docs, hashes, length).items():
-        ids, keys, firsts, texts, settled = by_part.setdefault(anchor % parts, ([], [], [], [], []))
+def sent_rows(docs: list[tuple[int, int, list[bytes]]], parts: int, length: int) -> dict[int, bytes]:
+    """For each part: stretches (doc, row key, first word, anchor tag, text) to compare, and spans that the batch settles itself."""
+    by_part: dict[int, tuple[list, list, list, list, list, list]] = {}
+    for text, (anchor, places) in stretches(docs, length).items():
+        ids, keys, firsts, tags, texts, settled = by_part.setdefault(anchor % parts, ([], [], [], [], [], []))
         least = places[0][0] if len(places) == 1 else min(places)[0]
         for doc, key, first, end in places:
             if doc > least:
@@ -95,10 +92,15 @@ def sent_rows(docs: list[tuple[int, int, list[bytes]]], parts: int, hashes: Memo
                 ids.append(doc)
                 keys.append(key)
                 firsts.append(first)
+                tags.append(anchor // parts & 0xFFFFFF)
                 texts.append(text)
     pack = zstandard.ZstdCompressor(level=3).compress
-    # Ids mostly rise within a batch, so their steps pack well.
-    return {p: pack(pickle.dumps((np.diff(np.array(i, np.int64), prepend=0), np.array(k, np.uint32), np.array(f, np.int32), b"\n".join(t), s), protocol=5)) for p, (i, k, f, t, s) in by_part.items()}
+    out = {}
+    for p, (i, k, f, g, t, s) in by_part.items():
+        ids = np.diff(np.array(i, np.int64), prepend=0)  # they mostly rise within a batch, so their steps pack well
+        tags = np.array(g, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        out[p] = pack(pickle.dumps((ids, np.array(k, np.uint32), np.array(f, np.int32), tags, b"\n".join(t), s), protocol=5))
+    return out
 
 
 def tree_groups(ids: np.ndarray, heads: np.ndarray, depth: int, length: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -146,17 +148,34 @@ def covered(payloads: list[bytes], length: int) -> list[tuple[int, int, int, int
     out, docs, keys, firsts, sizes, flat = [], [], [], [], [], []
     number: defaultdict[bytes, int] = defaultdict(count().__next__)
     unpack = zstandard.ZstdDecompressor().decompress
+    held = []
     for payload in payloads:
-        i, k, f, t, settled = pickle.loads(unpack(payload))
+        *rows, settled = pickle.loads(unpack(payload))
         out += settled
-        if len(i):
-            docs.append(np.cumsum(i))
-            keys.append(k.astype(np.int64))
-            firsts.append(f)
-            chars = np.frombuffer(t, np.uint8)
-            breaks = chars[(chars == 10) | (chars == 32)] == 10  # one a gap between words: does a stretch end there
-            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(breaks), [len(breaks)]])))
-            flat.append(np.fromiter(map(number.__getitem__, t.split()), np.int32, len(breaks) + 1))
+        if len(rows[0]):
+            held.append(rows)
+    if not held:
+        return out
+    # Windows that are equal have equal anchors, so a stretch alone with its anchor holds no repeat.
+    tags = np.concatenate([np.frombuffer(rows[3], np.uint8).reshape(-1, 3) for rows in held]).astype(np.int64) @ np.array([1, 1 << 8, 1 << 16])
+    _, group, times = np.unique(tags, return_inverse=True, return_counts=True)
+    shared = times[group] > 1
+    at = 0
+    for i, k, f, _, t in held:
+        keep = np.flatnonzero(shared[at : at + len(i)])
+        at += len(i)
+        if not len(keep):
+            continue
+        lines = t.split(b"\n")
+        t = b"\n".join([lines[j] for j in keep.tolist()])
+        docs.append(np.cumsum(i)[keep])
+        keys.append(k[keep].astype(np.int64))
+        firsts.append(f[keep])
+        chars = np.frombuffer(t, np.uint8)
+        breaks = chars[(chars == 10) | (chars == 32)] == 10  # one a gap between words: does a stretch end there
+        sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(breaks), [len(breaks)]])))
+        flat.append(np.fromiter(map(number.__getitem__, t.split()), np.int32, len(breaks) + 1))
+    del held
     if not docs:
         return out
     doc, key, first = np.concatenate(docs), np.concatenate(keys), np.concatenate(firsts).astype(np.int64)
@@ -201,10 +220,10 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = max(1, -(-input_bytes(docs, ["doc_id", "text"]) // GROUP_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Memo(word_hash, 400_000), [], 0
+        held, size = [], 0
 
         def flush():
-            rows = sent_rows(held, parts, hashes, length)
+            rows = sent_rows(held, parts, length)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array(list(rows.values()), pa.binary())], names=["part", "payload"])
 
