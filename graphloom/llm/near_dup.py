@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.substrings import MIX, mixed
-from graphloom.llm.text import Memo, bounded_batches, id_and_text
+from graphloom.llm.text import Memo, bounded_batches, give_back, id_and_text
 from graphloom.operators.components import connected_components
 from graphloom.session import cut
 
@@ -118,6 +118,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_id", "bands"],
             )
+        give_back()
 
     return id_and_text(docs).mapInArrow(run, SIGNED)
 
@@ -217,6 +218,8 @@ def verify(members: DataFrame, by: list[str]) -> DataFrame:
             sets = [shingle_set(t or "", hashes) for t in part["text"]]
             queries = int((part["role"] == 1).sum())
             out += [(ids[i], ids[j]) for i, j in forest(sets, queries or None)]
+            del part, sets
+        give_back()
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return members.groupBy(*by).applyInPandas(run, LINKS)

@@ -29,12 +29,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import bounded_batches, words_of
+from graphloom.llm.text import bounded_batches, give_back, words_of
 from graphloom.session import input_bytes
 
 LENGTH, TRIPLE = 13, 3
 #: Input bytes that feed one group of suffixes, suffixes in one tree, bytes of text in one batch of the map side.
 GROUP_BYTES, TREE, BATCH_TEXT = 4 << 20, 1 << 20, 10 << 20
+#: Bytes of one Arrow batch.
+ARROW_BYTES = 2 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,35 +56,32 @@ def anchors(h: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def stretches(docs: list[tuple[int, int, list[bytes]]], length: int) -> tuple[dict[bytes, list], np.ndarray]:
-    """Stretch text -> [anchor, occurrences (doc, row key, first word, end)] of a batch."""
-    found: dict[bytes, list] = {}
-    for doc, key, words in docs:
-        if len(words) < length:
-            continue
-        n = len(words)
-        a = anchors(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n), length)
-        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)])
-        firsts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
-        ends = np.concatenate([firsts[1:], [len(a)]]) + length - 1
-        whole = b" ".join(words)
-        for first, end, b, e, anchor in zip(firsts.tolist(), ends.tolist(), at[firsts].tolist(), (at[ends] - 1).tolist(), a[firsts].tolist()):
-            text = whole[b:e]
-            entry = found.get(text)
-            if entry is None:
-                found[text] = [anchor, [(doc, key, first, end)]]
-            else:
-                entry[1].append((doc, key, first, end))
-    return found
+def add_stretches(found: dict[bytes, list], doc: int, key: int, words: list[bytes], length: int) -> None:
+    """Adds one document to a batch: stretch text -> [anchor, occurrences (doc, row key, first word, end)]."""
+    n = len(words)
+    if n < length:
+        return
+    a = anchors(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n), length)
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)])
+    firsts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
+    ends = np.concatenate([firsts[1:], [len(a)]]) + length - 1
+    whole = b" ".join(words)
+    for first, end, b, e, anchor in zip(firsts.tolist(), ends.tolist(), at[firsts].tolist(), (at[ends] - 1).tolist(), a[firsts].tolist()):
+        text = whole[b:e]
+        entry = found.get(text)
+        if entry is None:
+            found[text] = [anchor, [(doc, key, first, end)]]
+        else:
+            entry[1].append((doc, key, first, end))
 
 
 SENT = "part int, payload binary"
 
 
-def sent_rows(docs: list[tuple[int, int, list[bytes]]], parts: int, length: int) -> dict[int, bytes]:
-    """For each part: stretches (doc, row key, first word, anchor tag, text) to compare, and spans that the batch settles itself."""
+def sent_rows(found: dict[bytes, list], parts: int) -> dict[int, bytes]:
+    """For each part of a batch's stretches, which are used up: stretches (doc, row key, first word, anchor tag, text) to compare, and spans that the batch settles itself."""
     by_part: dict[int, tuple[list, list, list, list, list, list]] = {}
-    for text, (anchor, places) in stretches(docs, length).items():
+    for text, (anchor, places) in found.items():
         ids, keys, firsts, tags, texts, settled = by_part.setdefault(anchor % parts, ([], [], [], [], [], []))
         least = places[0][0] if len(places) == 1 else min(places)[0]
         for doc, key, first, end in places:
@@ -94,9 +93,11 @@ def sent_rows(docs: list[tuple[int, int, list[bytes]]], parts: int, length: int)
                 firsts.append(first)
                 tags.append(anchor // parts & 0xFFFFFF)
                 texts.append(text)
+    found.clear()
     pack = zstandard.ZstdCompressor(level=3).compress
     out = {}
-    for p, (i, k, f, g, t, s) in by_part.items():
+    for p in list(by_part):
+        i, k, f, g, t, s = by_part.pop(p)
         ids = np.diff(np.array(i, np.int64), prepend=0)  # they mostly rise within a batch, so their steps pack well
         tags = np.array(g, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
         out[p] = pack(pickle.dumps((ids, np.array(k, np.uint32), np.array(f, np.int32), tags, b"\n".join(t), s), protocol=5))
@@ -216,30 +217,31 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, row_key, spans (array of first word and end) of what smaller documents hold already."""
-    bounded_batches(docs)
+    bounded_batches(docs, ARROW_BYTES)
     parts = max(1, -(-input_bytes(docs, ["doc_id", "text"]) // GROUP_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = {}, 0
 
         def flush():
-            rows = sent_rows(held, parts, length)
-            held.clear()
+            rows = sent_rows(held, parts)
             return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array(list(rows.values()), pa.binary())], names=["part", "payload"])
 
         for batch in batches:
             for doc, text, key in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if doc is not None:
-                    held.append((doc, key, words_of(text)))
+                    add_stretches(held, doc, key, words_of(text), length)
                     size += len(text)
                     if size >= BATCH_TEXT:
                         yield flush()
                         size = 0
         if held:
             yield flush()
+        give_back()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         spans = covered(list(pdf["payload"]), length)
+        give_back()
         return pd.DataFrame(spans, columns=["doc_id", "row_key", "s", "e"])
 
     sent = keyed(docs).mapInArrow(send, SENT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,9 +13,17 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
-def bounded_batches(df: DataFrame) -> None:
+def bounded_batches(df: DataFrame, size: int = BATCH_BYTES) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def give_back() -> None:
+    """Free memory that allocators still hold goes back to the system: a worker outlives its task and waits beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def id_and_text(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -27,9 +36,9 @@ def rows_of(batch: pa.RecordBatch) -> tuple[list, list[str]]:
     return batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
 
 
-def map_texts(docs: DataFrame, rows: Callable[[list, list[str]], dict[str, list]], schema: str) -> DataFrame:
+def map_texts(docs: DataFrame, rows: Callable[[list, list[str]], dict[str, list]], schema: str, size: int = BATCH_BYTES) -> DataFrame:
     """``rows`` gets the ids and texts of a batch and gives the columns of ``schema``; narrow, no shuffle."""
-    bounded_batches(docs)
+    bounded_batches(docs, size)
     names = [part.split()[0] for part in schema.split(", ")]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -41,6 +50,7 @@ def map_texts(docs: DataFrame, rows: Callable[[list, list[str]], dict[str, list]
             if batch.num_rows:
                 out = rows(*rows_of(batch))
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], arrow.field(n).type) for n in names], schema=arrow)
+        give_back()
 
     return id_and_text(docs).mapInArrow(run, schema)
 

@@ -16,6 +16,7 @@ labels every score is 0; ties do not arise, as rows are scored one by one; equal
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.gru import GRU, Adam, scatter, sigmoid
 from graphloom.llm.language import remainder, training_sample
-from graphloom.llm.text import Memo, bounded_batches, map_texts, words_of
+from graphloom.llm.text import Memo, bounded_batches, give_back, map_texts, words_of
 
 HIDDEN, WINDOW, STRIDE, RUN = 8, 32, 16, 4096
 WORD_ROWS, CHAR_ROWS, WIDTH = 1 << 14, 1 << 11, 8
 #: Bounds of the training sample and of its use.
 DOCS_A_LABEL, ROUNDS, EPOCHS, BATCH = 1000, 2, 8, 128
+#: Words that a scoring model remembers, words whose inputs are made at once, and bytes of one Arrow batch.
+REMEMBERED, AT_ONCE, BATCH_BYTES = 100_000, 1 << 14, 2 << 20
 _EDGES = b".,;:!?%*#$&|\"'()[]{}<>-_"
 
 
@@ -54,12 +57,12 @@ class ToxicModel:
 
     def _reset(self) -> None:
         self.rows: Memo = Memo(self._row, 1 << 62)
-        self.inputs = np.zeros((1, 2 * WIDTH), np.float32)
         self.gates: tuple[np.ndarray, np.ndarray] | None = None
+        self.filled = 0
         self.new: list[bytes] = []
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "inputs", "gates", "new")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "gates", "filled", "new")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -78,12 +81,18 @@ class ToxicModel:
         return np.concatenate([self.word[[w for w, _ in found]], chars], 1)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Gate inputs of all words met; row 0 stands for no word."""
-        if self.new:
-            self.inputs = np.concatenate([self.inputs, self._input(self.new)])
-            self.new, self.gates = [], None
+        """Gate inputs of all words met; row 0 stands for no word. Rows are added as words are met, in room that doubles."""
         if self.gates is None:
-            self.gates = self.inputs @ self.xf + self.bf, self.inputs @ self.xb + self.bb
+            self.gates, self.filled = tuple(np.repeat(b[None], 1024, 0) for b in (self.bf, self.bb)), 1
+        while self.new:
+            part, self.new = self.new[:AT_ONCE], self.new[AT_ONCE:]
+            end = self.filled + len(part)
+            if end > len(self.gates[0]):
+                self.gates = tuple(np.concatenate([g, np.empty((max(len(g), end - len(g)), g.shape[1]), np.float32)]) for g in self.gates)
+            x = self._input(part)
+            self.gates[0][self.filled : end] = x @ self.xf + self.bf
+            self.gates[1][self.filled : end] = x @ self.xb + self.bb
+            self.filled = end
         return self.gates
 
     def windows(self, text: str) -> np.ndarray:
@@ -107,7 +116,7 @@ class ToxicModel:
         return pooled @ self.out + self.bias, (idx, h, a, pooled, cf, cb)
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        if len(self.rows) > 300_000:
+        if len(self.rows) > REMEMBERED:
             self._reset()
         wins = [self.windows(t) for t in texts]
         flat = np.concatenate(wins)
@@ -158,9 +167,9 @@ class ToxicModel:
         self._reset()
 
     def _refresh(self, words: list, features: Memo) -> None:
-        self.new, self.gates = [], None
-        if len(words) > 1:
-            self.inputs = np.concatenate([np.zeros((1, 2 * WIDTH), np.float32), self._input(words[1:], features.__getitem__)])
+        self.new, self.filled = [], len(words)
+        inputs = np.concatenate([np.zeros((1, 2 * WIDTH), np.float32), *([self._input(words[1:], features.__getitem__)] if len(words) > 1 else [])])
+        self.gates = inputs @ self.xf + self.bf, inputs @ self.xb + self.bb
 
     def _learn(self, win: np.ndarray, label: np.ndarray, words: list, features: Memo, adam: Adam) -> None:
         used, place = np.unique(win, return_inverse=True)
@@ -237,18 +246,20 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
         score = [0.0] * len(ids) if model is None else model.score(texts).tolist()
         return {"doc_id": ids, "score": score, "predicted": [int(s >= 0.5) for s in score]}
 
-    return map_texts(docs, rows, "doc_id long, score double, predicted int")
+    return map_texts(docs, rows, "doc_id long, score double, predicted int", BATCH_BYTES)
 
 
 def without_toxic(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
     """The rows of ``docs`` that are not called toxic, all columns; narrow, no shuffle."""
 
     @F.pandas_udf("boolean")
-    def fine(text: pd.Series) -> pd.Series:
-        texts = [t or "" for t in text]
-        return pd.Series(model.score(texts) < 0.5) if texts else pd.Series([], dtype=bool)
+    def fine(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            texts = [t or "" for t in text]
+            yield pd.Series(model.score(texts) < 0.5) if texts else pd.Series([], dtype=bool)
+        give_back()
 
     if model is None:
         return docs
-    bounded_batches(docs)
+    bounded_batches(docs, BATCH_BYTES)
     return docs.filter(fine(docs["text"].cast("string")))
