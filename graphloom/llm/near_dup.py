@@ -5,8 +5,8 @@ shingle throws correlated ranks (one permutation of the slots a shingle), and a
 throw can lower a slot. Classes that share a band key are linked to the key's smallest class; the groups so joined are
 the candidates. A small candidate group is verified in one task: a union-find over its full sets, in which two
 documents already joined are not compared again. A large group is dealt into blocks; every block also gets the same
-pivots, and what is then not joined to the group's largest part meets all blocks once more, in blocks itself. So no
-pair list of a group is ever made and no comparison is left out.
+pivots, and what is then not joined to the group's largest part meets all blocks once more, in blocks itself, its own
+among them. So no pair list of a group is ever made and no comparison is left out.
 
 Defined results: A-Z are lowered; null and empty texts have an empty set and stay alone; fewer than ``size`` words are
 one shingle; repeated rows are equal documents; rows without a doc_id stay alone with a null component.
@@ -145,22 +145,18 @@ class Union:
         return i
 
 
-def forest(sets: list[np.ndarray], queries: int | None = None) -> list[tuple[int, int]]:
-    """Links that join what is similar, as few as joining needs. With ``queries``: the first so many against the rest."""
+def forest(sets: list[np.ndarray], asked: list[int] | None = None, held: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join what is similar, as few as joining needs. With ``asked``: those against the ``held``, which may share members."""
     union, links = Union(len(sets)), []
-    groups: dict[int, list[int]] = {}
-    for i in range(len(sets)) if queries is None else range(queries, len(sets)):
-        groups.setdefault(i, [i])
-    order = list(groups)
-    if queries is not None:
-        for i in range(queries):
-            for j in order:
+    if asked is not None:
+        for i in asked:
+            for j in held or ():
                 if union.find(i) != union.find(j) and similar(sets[i], sets[j]):
                     union.p[union.find(j)] = union.find(i)
                     links.append((i, j))
         return links
     members: dict[int, list[int]] = {}
-    for i in order:
+    for i in range(len(sets)):
         joined = []
         for root, group in members.items():
             if any(similar(sets[i], sets[j]) and (links.append((i, j)) or True) for j in group):
@@ -207,17 +203,19 @@ def candidate_texts(sized: DataFrame, docs: DataFrame, total: int) -> DataFrame:
 
 
 def verify(members: DataFrame, by: list[str]) -> DataFrame:
-    """``members``: doc_id, text, grp (verified among themselves), ``by`` (the task's key), role (1: queries against the rest, 0: all)."""
+    """``members``: doc_id, text, grp (verified among themselves), ``by`` (the task's key), role (1: asked against those of role 0; all 0: all)."""
     bounded_batches(members)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, out = Memo(xxhash.xxh3_64_intdigest, 400_000), []
         for _, part in pdf.groupby("grp", sort=False):
-            part = part.sort_values(["role", "doc_id"], ascending=[False, True], kind="stable").drop_duplicates("doc_id")
+            # A document can be asked and held in one cell: then it also meets the others that are asked there.
+            asked, held = set(part.loc[part["role"] == 1, "doc_id"]), set(part.loc[part["role"] == 0, "doc_id"])
+            part = part.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
             ids = part["doc_id"].tolist()
             sets = [shingle_set(t or "", hashes) for t in part["text"]]
-            queries = int((part["role"] == 1).sum())
-            out += [(ids[i], ids[j]) for i, j in forest(sets, queries or None)]
+            both = [[k for k, i in enumerate(ids) if i in side] for side in (asked, held)] if asked else []
+            out += [(ids[i], ids[j]) for i, j in forest(sets, *both)]
             del part, sets
         give_back()
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")

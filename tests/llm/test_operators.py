@@ -127,6 +127,18 @@ def test_near_duplicates(docs, monkeypatch, block):
     assert [g for g in got if g[0] >= 0] == [w for w in want if w[0] >= 0]
 
 
+def test_near_duplicates_outside_the_main_part(spark, monkeypatch):
+    """One candidate group of three clusters: the smaller two stand outside the largest and in blocks of their own."""
+    monkeypatch.setattr(near_dup, "BLOCK", 6)
+    monkeypatch.setattr(near_dup, "PIVOTS", 0)
+    texts = [" ".join(f"{c}{k}" if k != 7 * n % 60 else f"{c}z{n}" for k in range(120)) for c, many in (("a", 14), ("b", 2), ("c", 2)) for n in range(many)]
+    docs_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = spark.createDataFrame([(i, 0) for i in range(len(texts))], "id long, component long")
+    links = near_dup._verified_links(group, docs_)
+    found = {r["id"]: r["component"] for r in near_dup.connected_components(links).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == [0] * 14 + [14] * 2 + [16] * 2
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
