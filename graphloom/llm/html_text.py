@@ -4,16 +4,19 @@ The page is read into lines: one for every block-level element's own text, with
 and white space folded. Lines of elements that never hold an article (menus, headers outside it, footers, asides,
 forms, scripts, notices, adverts, reader comments) are struck. Over the lines that remain, text lengths are summed in
 sliding windows; the text begins where the sum surges above the threshold and is followed by more, and ends where it
-dives. The edges then move out to the whole element that holds the text between them, so short first and last blocks
-of the article stay.
+dives. The edges then only move out, so short first and last blocks of the article stay: to the whole article (or
+main) element around that text, also if a tenth of it or less stands outside, else to the smallest container of all of
+it. A block quotation is no container, nor is a table cell of one line.
 
 Defined results: a null or empty page, or one without text, gives the empty string; unclosed elements end with their
-parents, or with the page; nothing within the article is dropped or cut; extra columns are ignored.
+parents, or with the page, which is a container too; of nested articles the outermost counts; nothing within the article is dropped or cut; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import os.path
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,6 +29,7 @@ from graphloom.llm.text import bounded_batches
 WINDOW, SURGE = 3, 86
 # HTML element names by their role.
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = frozenset("article main section div body td".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("script style noscript template iframe object svg canvas select textarea button form nav aside footer head menu dialog".split())
 #: Marks of elements that are no article: whole words of class, id and role values.
@@ -34,6 +38,10 @@ _WORD = re.compile(r"[a-z]+")
 CLOSED_BY = {"p": frozenset(BLOCKS - {"br"}), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 
+#: Open containers, the page first: each one's number and tag.
+Path = tuple[tuple[int, str], ...]
+
+
 class _Lines(HTMLParser):
     """Lines of (text, path of open containers, struck)."""
 
@@ -41,7 +49,7 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, Path]] = []
         self.open: list[tuple[str, int, bool]] = []
         self.made, self.struck = 0, 0
         self.parts: list[str] = []
@@ -50,7 +58,7 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text and not self.struck:
-            self.lines.append((text, tuple(n for _, n, _ in self.open if n)))
+            self.lines.append((text, ((0, "page"), *((n, t) for t, n, _ in self.open if n))))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
@@ -67,7 +75,7 @@ class _Lines(HTMLParser):
             self.flush()
             self.struck += 1
         self.made += 1
-        self.open.append((tag, self.made if tag in ("article", "main", "section", "div", "body", "td", "blockquote") else 0, struck))
+        self.open.append((tag, self.made if tag in CONTAINERS else 0, struck))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -92,7 +100,7 @@ class _Lines(HTMLParser):
             self.parts.append(data)
 
 
-def lines_of(html: str) -> list[tuple[str, tuple[int, ...]]]:
+def lines_of(html: str) -> list[tuple[str, Path]]:
     parser = _Lines()
     parser.feed(html)
     parser.close()
@@ -120,6 +128,11 @@ def surges(lengths: list[int]) -> list[tuple[int, int]]:
     return runs
 
 
+def article_of(path: Path) -> tuple[int, str] | None:
+    """The outermost article on the path, or else main."""
+    return next((node for tag in ("article", "main") for node in path if node[1] == tag), None)
+
+
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
     if not lines:
@@ -128,18 +141,19 @@ def main_text(html: str | None) -> str:
     runs = surges(lengths) or [(0, len(lines))]
     best = max(range(len(runs)), key=lambda i: sum(lengths[runs[i][0] : runs[i][1]]))
     first, end = runs[best]
-    # The smallest container that holds most of the text between surge and dive.
-    total = sum(lengths[first:end])
-    weight: dict[int, int] = {}
-    for k in range(first, end):
-        for depth, node in enumerate(lines[k][1]):
-            weight[node] = weight.get(node, 0) + lengths[k]
-    inside = [node for node, w in weight.items() if 10 * w >= 9 * total]
-    if inside:
-        holder = max(inside)
-        kept = [t for t, path in lines if holder in path]
-    else:
-        kept = [t for t, _ in lines[first:end]]
+    shared = os.path.commonprefix([path for _, path in lines[first:end]])
+    holder = article_of(shared)
+    if holder is None:
+        weight: Counter = Counter()
+        for text, path in lines[first:end]:
+            weight[article_of(path)] += len(text)
+        node, most = weight.most_common(1)[0]
+        holder = node if 10 * most >= 9 * weight.total() else None
+    if holder is None:
+        while shared[-1][1] == "td" and sum(shared[-1] in path for _, path in lines) == 1:
+            shared = shared[:-1]
+        holder = shared[-1]
+    kept = [text for k, (text, path) in enumerate(lines) if first <= k < end or holder in path]
     return "\n\n".join(kept)
 
 

@@ -69,6 +69,25 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
 
 
+LONG = "Long enough text of an article that goes on for some words. " * 20
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        (f"<body><article><h1>Title</h1><p>lead</p><div class=body>{LONG}</div><p>end</p></article><div>far</div>", ["Title", "lead", LONG, "end"]),
+        (f"<body><article><section><h2>One</h2><p>{LONG}</p></section><section><p>a</p><p>b</p><p>c</p></section><section><p>{LONG[:300]}</p></section></article>", ["One", LONG, "a", "b", "c", LONG[:300]]),
+        (f"<body><div><p>first</p><blockquote>{LONG}</blockquote><p>last</p></div>", ["first", LONG, "last"]),
+        (f"<body><div><table><tr><td>{LONG}</td></tr></table><p>last</p></div>", [LONG, "last"]),
+        (f"<body><p>lead</p><div>{LONG}</div>", ["lead", LONG]),
+        (f"<body><div>teaser</div><article><p>{LONG}</p><p>end</p></article><div>x</div>", ["teaser", LONG, "end"]),
+        (f"<p>lead</p><div>{LONG}</div><p>last</p>", ["lead", LONG, "last"]),
+    ],
+)
+def test_html_keeps_the_whole_article(page, kept):
+    assert html_text.main_text(page).split("\n\n") == [t.strip() for t in kept]
+
+
 def brute_repeats(docs_):
     first = {}
     words = [(i, t.encode().split()) for i, t in docs_]
