@@ -2,7 +2,7 @@
 
 A bounded sample of the vectors gives pivots. A vector is represented by its ``PREFIX`` nearest pivots in order. The
 first ``FILES`` pivots have inverted files; a vector is posted in those of its ``POSTS`` nearest. A query visits the files of its nearest pivots, ranks each file's
-postings by the footrule distance between orders, and reranks the nearest share of them by the exact inner product in
+ids by the least footrule distance between orders, and reranks the nearest share of them by the exact inner product in
 double precision. Files are dealt in blocks, so no file has to fit one task.
 
 Defined results: vectors that are null, zero, empty, of another length than most, or hold null or non-finite numbers
@@ -21,7 +21,7 @@ from graphloom.llm.text import bounded_batches
 
 #: Pivots, length of a vector's order, pivots with files, files that a vector is posted in and a query visits.
 PIVOTS, PREFIX, FILES, POSTS, VISITS = 128, 32, 64, 8, 12
-#: The share (at least the number) of a file's postings, nearest by footrule first, that is reranked.
+#: The share (at least the number) of a file's ids, nearest by footrule first, that is reranked.
 SHARE, LEAST = 0.75, 200
 #: Bound of the sample that pivots come from; postings in one block of a file; queries that one task scores at once.
 SAMPLE, BLOCK, CHUNK = 8192, 20_000, 256
@@ -57,11 +57,12 @@ def orders(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 def footrule(query_rank: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Footrule distance of prefixes: pivots that one order lacks stand just after its end. (queries, postings)."""
     place = np.arange(order.shape[1], dtype=np.int16)
+    columns = np.ascontiguousarray(order.T, np.intp)
     out = np.zeros((len(query_rank), len(order)), np.int16)
     for i, rank in enumerate(query_rank):
         step = np.abs(rank[None, :] - place[:, None])
         for j in place:
-            out[i] += step[j][order[:, j]]
+            out[i] += step[j].take(columns[j])
     return out
 
 
@@ -100,23 +101,38 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     dealt = posted.withColumn("block", F.explode(block))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked, held = pdf[pdf["side"] == 1].drop_duplicates("vec_id"), pdf[pdf["side"] == 0]
+        asked, held = pdf[pdf["side"] == 1].drop_duplicates("vec_id"), pdf[pdf["side"] == 0].sort_values("vec_id", kind="stable")
         out: list[tuple] = []
         if len(asked) and len(held):
-            hv, ho, hid = np.array(held["v"].tolist(), np.float32 if kind == "array<float>" else np.float64), np.array(held["o"].tolist(), np.int16), held["vec_id"].to_numpy()
-            share = max(LEAST, int(SHARE * len(hid)))
+            hv, ho, hid = np.array(held["v"].tolist(), np.float64), np.array(held["o"].tolist(), np.int16), held["vec_id"].to_numpy()
+            ids, first_row, copies = np.unique(hid, return_index=True, return_counts=True)
+            repeated, share = len(ids) < len(hid), max(LEAST, int(SHARE * len(ids)))
             for first in range(0, len(asked), CHUNK):
                 part = asked.iloc[first : first + CHUNK]
                 qv, qo, qid = np.array(part["v"].tolist(), np.float64), np.array(part["o"].tolist(), np.int16), part["vec_id"].to_numpy()
                 rank = np.full((len(part), len(pivots)), prefix, np.int16)
                 np.put_along_axis(rank, qo.astype(np.int64), np.arange(prefix, dtype=np.int16)[None, :], 1)
                 far = footrule(rank, ho)
+                if repeated:
+                    far = np.minimum.reduceat(far, first_row, axis=1)
                 for i in range(len(part)):
-                    near = np.arange(len(hid)) if len(hid) <= share else np.argpartition(far[i], share - 1)[:share]
-                    near = near[hid[near] != qid[i]]
-                    score = hv[near].astype(np.float64) @ qv[i]
-                    best = np.lexsort((hid[near], -score))[: k + 20]
-                    out += [(int(qid[i]), int(hid[near][b]), float(score[b])) for b in best]
+                    near = np.arange(len(ids)) if len(ids) <= share else np.argpartition(far[i], share - 1)[:share]
+                    near = near[ids[near] != qid[i]]
+                    if not len(near):
+                        continue
+                    if repeated:
+                        # All rows of the ids that are near, and of each id its best, before any is left out.
+                        near.sort()
+                        at = np.cumsum(copies[near]) - copies[near]
+                        held_by = np.repeat(first_row[near] - at, copies[near]) + np.arange(copies[near].sum())
+                        score = np.maximum.reduceat(hv[held_by] @ qv[i], at)
+                    else:
+                        score = hv[near] @ qv[i]
+                    if len(near) > k:
+                        best = np.flatnonzero(score >= np.partition(score, -k)[-k])
+                        near, score = near[best], score[best]
+                    best = np.lexsort((ids[near], -score))[:k]
+                    out += zip([int(qid[i])] * len(best), ids[near[best]].tolist(), score[best].tolist(), strict=True)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = dealt.groupBy("file", "block").applyInPandas(search, "query_id long, vec_id long, score double")

@@ -214,6 +214,21 @@ def test_vectors(spark):
     assert hits >= 0.9 * sum(r["query_id"] != 60 for r in got) and not any(r["vec_id"] >= 500 for r in got)
 
 
+def test_vectors_of_one_id_take_one_place(spark):
+    """An id with a third of all rows, nearer than any other, takes no place of those ranked below it."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal(8)
+    data = [(i, (base + 0.3 * rng.standard_normal(8)).tolist()) for i in range(100)] + [(200, (3 * base + 0.01 * rng.standard_normal(8)).tolist()) for _ in range(50)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in vectors.nearest(df, vectors.F.col("vec_id") == 0, 20).collect()}
+    score = {}
+    for i, x in data[1:]:
+        score[i] = max(score.get(i, -np.inf), np.dot(data[0][1], x))
+    want = sorted(score, key=lambda i: (-score[i], i))[:20]
+    found = [got.get((0, r)) for r in range(1, 21)]
+    assert found[0] == 200 and None not in found and len(set(found) & set(want)) >= 18
+
+
 def test_learned_operators(spark):
     rng = np.random.default_rng(0)
     base = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(200)]
