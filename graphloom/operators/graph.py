@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -153,19 +154,55 @@ def find(nodes: DataFrame, edges: DataFrame, text: str, kind: str | None = None,
     return hit.join(degree(nodes, edges), "id").select("id", "label", "degree").orderBy(F.desc("degree"), F.desc("id")).limit(limit)
 
 
-def fuzzy_duplicates(nodes: DataFrame, least: float = 0.82) -> DataFrame:
-    """(a, b, ratio): label pairs of one type and first letter whose sequence ratio is at least ``least``."""
-    names = nodes.select("id", "type", norm("label").alias("name")).filter("name <> ''").withColumn("first", F.substring("name", 1, 1))
-    size = F.length("name")
-    left, right = names.withColumn("n", size), names.select(F.col("id").alias("b"), "type", "first", F.col("name").alias("other"), size.alias("m"))
-    # ratio <= 2*min/(n+m), so pairs of too unlike lengths need no look
-    close = left.join(right, ["type", "first"]).filter((F.col("id") < F.col("b")) & (2 * F.least("n", "m") >= least * (F.col("n") + F.col("m"))))
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    return close.withColumn("ratio", ratio("name", "other")).filter(F.col("ratio") >= least).select(F.col("id").alias("a"), "b", F.round("ratio", 6).alias("ratio"))
+#: Tasks that one block of names is dealt over.
+SALTS = 64
+
+
+def ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """The sequence ratio of two names, null where letter counts show that it is below ``least``."""
+    known: dict[tuple[str, str], float | None] = {}
+    counts: dict[str, Counter] = {}
+    for x, y, bound in zip(a, b, least, strict=True):
+        if (x, y) not in known:
+            for t in (x, y):
+                if t not in counts:
+                    counts[t] = Counter(t)
+            p, q = counts[x], counts[y]
+            common = sum([min(n, q[c]) for c, n in p.items() if c in q])
+            # one batch has one bound
+            known[x, y] = difflib.SequenceMatcher(None, x, y).ratio() if 2 * common >= bound * (len(x) + len(y)) else None
+    return pd.Series([known[k] for k in zip(a, b, strict=True)], dtype="float64")
+
+
+def shared_neighbours(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(a, b, shared) of nodes of one block (type, first) with a common neighbour, a < b."""
+    nb = both_ways(edges).join(names.select(F.col("id").alias("a"), "type", "first"), "a").withColumnRenamed("b", "via")
+    return nb.join(nb.withColumnRenamed("a", "b"), ["via", "type", "first"]).filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def fuzzy_duplicates(nodes: DataFrame, edges: DataFrame, least: float = 0.82, least_shared: float = 0.6, shared: int = 2) -> DataFrame:
+    """(a, b, ratio): label pairs of one type and first letter whose sequence ratio is at least ``least``, or at least
+    ``least_shared`` if the nodes have ``shared`` neighbours in common. Pairs that alone share a surface form are left out."""
+    names = nodes.select("id", "type", norm("label").alias("name")).filter("name <> ''").withColumns({"first": F.substring("name", 1, 1), "n": F.length("name")})
+    names = cut(names)
+    other = names.select(F.col("id").alias("b"), "type", "first", F.col("name").alias("other"), F.col("n").alias("m"))
+
+    ratio = F.pandas_udf(ratio_from, "double")
+
+    def alike(pairs: DataFrame, bound: float) -> DataFrame:
+        # ratio <= 2*min/(n+m), so pairs of too unlike lengths need no look
+        close = pairs.filter((F.col("a") < F.col("b")) & (2 * F.least("n", "m") >= bound * (F.col("n") + F.col("m"))))
+        return close.withColumn("ratio", ratio("name", "other", F.lit(bound))).filter(F.col("ratio") >= bound).select("a", "b", "ratio")
+
+    left = names.withColumnRenamed("id", "a").repartition(SALTS, "a").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    salted = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # The salted side is larger than its statistics tell, so it must not be broadcast.
+    by_name = alike(left.join(salted.hint("merge"), ["type", "first", "salt"]), least)
+    near = shared_neighbours(edges, names).filter(F.col("shared") >= shared)
+    linked = near.join(names.select(F.col("id").alias("a"), "name", "n"), "a").join(other.select("b", "other", "m"), "b")
+    found = by_name.unionByName(alike(linked, least_shared).filter(F.col("ratio") < least))
+    exact = surface_duplicates(nodes).filter(F.size("ids") == 2).select(F.col("ids")[0].alias("a"), F.col("ids")[1].alias("b"))
+    return found.join(exact, ["a", "b"], "left_anti").select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 def show(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:

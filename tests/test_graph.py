@@ -1,3 +1,5 @@
+import difflib
+
 import pytest
 
 from graphloom.operators import graph as G
@@ -40,6 +42,25 @@ def test_long_chain_components(spark):
     assert len(got) == 303 and {r["component"] for r in got} == {0, 1000}
 
 
+def test_fuzzy_duplicates_with_shared_neighbours(spark):
+    labels = {"a": "alpha beta", "b": "alpha beto", "c": "alpha gamma", "d": "alpha", "e": "same", "f": "Same", "g": "trio", "h": "trio", "i": "trio"}
+    nodes = spark.createDataFrame([(i, "T", x) for i, x in labels.items()], "id string, type string, label string")
+    edges = spark.createDataFrame([(i, "r", t) for i in "ac" for t in "xy"] + [("d", "r", "x"), ("y", "r", "b"), ("b", "r", "x"), ("a", "r", "x")], "`from` string, rel string, `to` string")
+    got = {(r["a"], r["b"]): r["ratio"] for r in G.fuzzy_duplicates(nodes, edges).collect()}
+    ratio = {(a, b): round(difflib.SequenceMatcher(None, labels[a], labels[b]).ratio(), 6) for a in "abc" for b in "bc" if a < b}
+    assert 0.6 <= ratio["a", "c"] < 0.82 <= ratio["a", "b"]
+    assert ratio.pop(("b", "c")) < 0.6
+    assert got == ratio | {(a, b): 1.0 for a, b in (("g", "h"), ("g", "i"), ("h", "i"))}
+
+
+def test_fuzzy_duplicates_on_all_kinds(spark):
+    from graphloom import catalog
+
+    # on the smallest tables, by kind of node
+    kinds = {r["k"] for r in catalog.queries()["kg_dupes_fuzzy"](spark, "/root/testdata/sf0.001").selectExpr("split(a, ':')[0] AS k").distinct().collect()}
+    assert {"supplier", "customer", "part"} <= kinds
+
+
 def test_bad_patterns():
     with pytest.raises(ValueError):
         parse("a b")
