@@ -70,8 +70,21 @@ class Adam:
             self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)
 
 
+class RowAdam:
+    """Adam on the rows of a table that a step touches; other rows and their moments rest."""
+
+    def __init__(self, table: np.ndarray, rate: float):
+        self.p, self.rate, self.t = table, rate, 0
+        self.m, self.v = np.zeros_like(table), np.zeros_like(table)
+
+    def update(self, rows: np.ndarray, grads: np.ndarray) -> None:
+        self.t += 1
+        grads = grads * min(1.0, 5.0 / (float(np.sqrt((grads * grads).sum())) + 1e-9))
+        self.m[rows] += 0.1 * (grads - self.m[rows])
+        self.v[rows] += 0.01 * (grads * grads - self.v[rows])
+        self.p[rows] -= self.rate * (self.m[rows] / (1 - 0.9**self.t)) / (np.sqrt(self.v[rows] / (1 - 0.99**self.t)) + 1e-6)
+
+
 def scatter(index: np.ndarray, grads: np.ndarray, rows: int) -> np.ndarray:
     """Sums the gradients of table rows: index (M,), grads (M, D)."""
-    out = np.zeros((rows, grads.shape[1]), np.float32)
-    np.add.at(out, index, grads)
-    return out
+    return np.stack([np.bincount(index, grads[:, j], rows) for j in range(grads.shape[1])], 1).astype(np.float32)

@@ -10,8 +10,6 @@ text is ``und``; ties go to the language that sorts first; every byte of a long
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +20,6 @@ from graphloom.llm.text import map_texts
 HIDDEN, SEGMENT, RUN = 8, 128, 4096
 #: Bounds of the training sample and of its use.
 DOCS_A_LANGUAGE, SEGMENTS_A_DOC, EPOCHS, BATCH = 300, 3, 5, 256
-_letter = re.compile(r"[^\W\d_]").search
 
 
 class ByteTagger:
@@ -144,7 +141,7 @@ def predict_languages(docs: DataFrame, model: ByteTagger | None) -> DataFrame:
 
     def rows(ids: list, texts: list[str]) -> dict[str, list]:
         out = {"doc_id": ids, "lang_pred": ["und"] * len(ids), "score": [0.0] * len(ids)}
-        real = [i for i, t in enumerate(texts) if model is not None and _letter(t)]
+        real = [i for i, t in enumerate(texts) if model is not None and any(map(str.isalpha, t))]
         if real:
             sums = model.document_sums([texts[i].encode() for i in real])
             p = sums / sums.sum(1, keepdims=True)
