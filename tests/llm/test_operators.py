@@ -3,8 +3,10 @@
 import hashlib
 import io
 import re
+import time
 import wave
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -88,6 +90,41 @@ def test_html_keeps_the_whole_article(page, kept):
     assert html_text.main_text(page).split("\n\n") == [t.strip() for t in kept]
 
 
+def brute_article(html):
+    """Another way: the text of the one article element, by patterns."""
+    inner = re.search(r"<article>(.*)</article>", html, re.S)[1]
+    inner = re.sub(r"(?s)<(script|style|aside|form|nav)\b.*?</\1>", "\x00", inner)
+    blocks = re.split("\x00", re.sub(r"(?i)</?(p|h\d|div|li|ul|ol|br|section|table|tr|td|blockquote|pre|figure|figcaption|article)\b[^>]*>", "\x00", inner))
+    return "\n\n".join(t for t in (" ".join(unescape(re.sub(r"(?s)<!--.*?-->|<[^>]*>", "", b)).split()) for b in blocks) if t)
+
+
+def test_html_on_the_pages(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {(r["page_id"], r["url"]): brute_article(r["html"]) for r in df.collect()}
+    got = {(r["page_id"], r["url"]): r["text"] for r in html_text.extract_pages(df).collect()}
+    assert got == want and all(got.values())
+
+
+def test_html_marks():
+    keep = f"<div class='ad-free story'><p>{LONG}</p></div>"
+    assert html_text.main_text(keep) == LONG.strip()
+    work = f"<article><p>{LONG}</p><section class='related-work'><p>{LONG[:200]}</p></section><div class='comment-list'><p>{LONG}</p></div></article><div id=cookie-notice>{LONG}</div>"
+    assert html_text.main_text(work) == LONG.strip() + "\n\n" + LONG[:200].strip()
+
+
+def test_html_short_page():
+    assert html_text.main_text("<div><p>Buy now</p></div><ul><li>a</li><li>b</li></ul><ol><li>c</li></ol><div><h1>News</h1><p>Little happened today in town.</p></div>") == "News\n\nLittle happened today in town."
+
+
+def test_html_nests_deep():
+    took = []
+    for n in (20_000, 40_000):
+        began = time.process_time()
+        assert html_text.main_text("<div>x" * n + "</b>" * n + LONG).endswith(LONG.strip())
+        took.append(time.process_time() - began)
+    assert took[1] < 3.5 * took[0] + 0.5
+
+
 def brute_repeats(docs_):
     first = {}
     words = [(i, t.encode().split()) for i, t in docs_]
@@ -229,6 +266,62 @@ def test_vectors_of_one_id_take_one_place(spark):
     assert found[0] == 200 and None not in found and len(set(found) & set(want)) >= 18
 
 
+def brute_nearest(data, asked, k):
+    """Of rows (id, vector): the best k (id, score) of every asked id."""
+    ids, v = np.array([i for i, _ in data]), np.array([x for _, x in data], float)
+    out = {}
+    for q in asked:
+        best = {}
+        for x in v[ids == q]:
+            for i, s in zip(ids.tolist(), (v * x).sum(1).tolist()):
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), s)
+        out[q] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def found_by(df, asked, k=20):
+    out = {}
+    for r in sorted(vectors.nearest(df, vectors.F.col("vec_id").isin(asked), k).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert len(out[r["query_id"]]) == r["rank"]
+    return out
+
+
+def test_vectors_recall_on_the_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    data = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    asked = [i for i, _ in data if i % 20 == 0]
+    want, got = brute_nearest(data, asked, 20), found_by(df, asked)
+    hits = [len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in asked]
+    assert sum(hits) >= 0.95 * 20 * len(asked)
+    assert all(dict(want[q]).get(i, s) == s for q in asked for i, s in got[q])
+
+
+def test_vectors_use_the_index_at_its_size(spark, monkeypatch):
+    """With many files and a share that footrule decides, over several blocks of postings and of queries."""
+    monkeypatch.setattr(vectors, "FEW", 50)
+    monkeypatch.setattr(vectors, "LEAST", 20)
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    monkeypatch.setattr(vectors, "QUERIES", 4)
+    rng = np.random.default_rng(4)
+    data = [(i, x.tolist()) for i, x in enumerate(rng.standard_normal((1500, 12)))]
+    asked = list(range(0, 1500, 50))
+    want, got = brute_nearest(data, asked, 20), found_by(spark.createDataFrame(data, "vec_id long, embedding array<double>"), asked)
+    assert sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in asked) >= 0.9 * 20 * len(asked)
+
+
+def test_vectors_find_all_they_can(spark, monkeypatch):
+    """Directions spread in angle and one long vector off them: every query gets 20, the long one among them."""
+    monkeypatch.setattr(vectors, "FEW", 10)
+    angle = np.linspace(0, 2 * np.pi, 60, endpoint=False).tolist()
+    data = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angle)] + [(100, [30 * float(np.cos(1.2)), 30 * float(np.sin(1.2))]), (7, [0.5, 0.1]), (0, [0.0, 1.0])]
+    got, want = found_by(spark.createDataFrame(data, "vec_id long, embedding array<double>"), [0, 7]), brute_nearest(data, [0, 7], 20)
+    assert all(len(got[q]) == 20 and got[q][0] == want[q][0] for q in (0, 7)) and got[0][0][0] == 100
+    few = spark.createDataFrame(data[:3], "vec_id long, embedding array<double>")
+    assert found_by(few, [0, 1]) == brute_nearest(data[:3], [0, 1], 20)
+
+
 def test_learned_operators(spark):
     rng = np.random.default_rng(0)
     base = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(200)]
