@@ -8,7 +8,8 @@ verified by the regex itself on the whole text. Rules without a mandatory trigra
 Spans are (kind, start, end) in code points, leftmost and non-overlapping within a kind, whole texts, any number.
 
 Defined results: a null text counts as empty and has no spans; equal rows give equal results; documents with a null
-id are scanned like others; the index treats rows of one id as one posting and verification looks at each row.
+id are scanned like others; rows of one id are posted by id and a hash of the text, so that neither an id of many rows
+nor the null id gathers them in one task; columns of ``docs`` may have any names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.text import fresh
+
 ALL = ("all",)
 #: String sets that are followed exactly; larger ones are cut into their trigrams.
 MOST_STRINGS = 64
@@ -130,14 +133,22 @@ def query_trigrams(rules: tuple[Rule, ...] = RULES) -> list[str]:
 
 
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, doc_id): every document under each of the given trigrams that its lower-cased text holds."""
-    low = docs.select("doc_id", F.lower(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("low"))
+    """Postings (trigram, doc_id, salt): every document under each of the given trigrams that its lower-cased text holds."""
+    low = docs.select("doc_id", _salt(docs["text"]).alias("salt"), F.lower(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(n)) for n, t in enumerate(trigrams)]))
-    return low.select("doc_id", F.explode(held).alias("trigram"))
+    return low.select("doc_id", "salt", F.explode(held).alias("trigram"))
+
+
+#: Rows of one id spread over so many keys.
+SALTS = 1024
+
+
+def _salt(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text.cast("string")), F.lit(SALTS)).cast("int")
 
 
 def candidates(postings: DataFrame, trigrams: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and one Boolean ``may_<kind>`` for each rule with a query: the intersected postings."""
+    """doc_id, salt and one Boolean ``may_<kind>`` for each rule with a query: the intersected postings."""
     place = {t: n for n, t in enumerate(trigrams)}
     masks = [
         F.bit_or(F.when(F.floor(F.col("trigram") / 63) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("trigram") % 63).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"m{w}")
@@ -155,9 +166,9 @@ def candidates(postings: DataFrame, trigrams: list[str], rules: tuple[Rule, ...]
         return out
 
     queries = {r.kind: trigram_query(r.pattern, r.any_case) for r in rules}
-    posted = postings.groupBy("doc_id").agg(*masks)
+    posted = postings.groupBy("doc_id", "salt").agg(*masks)
     flags = {k: held(q) for k, q in queries.items() if q != ALL}
-    found = posted.select("doc_id", *[c.alias(f"may_{k}") for k, c in flags.items()])
+    found = posted.select("doc_id", "salt", *[c.alias(f"may_{k}") for k, c in flags.items()])
     any_flag = None
     for k in flags:
         any_flag = F.col(f"may_{k}") if any_flag is None else any_flag | F.col(f"may_{k}")
@@ -191,27 +202,30 @@ def _numbered(spans: Column, n: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("k"), x["e"].alias("e")))
 
 
-def _of_rule(n: int) -> Column:
-    return F.filter("secret_spans", lambda x: x["k"] == n)
+def _of_rule(spans: str, n: int) -> Column:
+    return F.filter(spans, lambda x: x["k"] == n)
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds ``secret_spans``: array of (kind number, start, end) by start, then rule order, to each row of ``docs``."""
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "secret_spans") -> DataFrame:
+    """Adds ``name``: array of (kind number, start, end) by start, then rule order, to each row of ``docs``."""
     trigrams = query_trigrams(rules)
     may = candidates(build_index(docs.select("doc_id", "text"), trigrams), trigrams, rules)
-    flags = [c for c in may.columns if c != "doc_id"]
-    renamed = may.select(F.col("doc_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in flags])
-    joined = docs.join(renamed, docs["doc_id"].eqNullSafe(renamed["__id"]), "left")
+    kinds = [c.removeprefix("may_") for c in may.columns if c.startswith("may_")]
+    key, salt, own, *flags = fresh(docs, "posted_id", "posted_salt", "own_salt", *[f"may_{k}" for k in kinds])
+    renamed = may.select(F.col("doc_id").alias(key), F.col("salt").alias(salt), *[F.col(f"may_{k}").alias(f) for k, f in zip(kinds, flags, strict=True)])
+    salted = docs.withColumn(own, _salt(F.col("text")))
+    joined = salted.join(renamed, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(salt)), "left")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    flag = dict(zip(kinds, flags, strict=True))
     parts = []
     for n, rule in enumerate(rules):
         hit = text.rlike(rule.regex)
-        if f"may_{rule.kind}" in flags:
-            hit = F.coalesce(F.col(f"__may_{rule.kind}"), F.lit(False)) & hit
+        if rule.kind in flag:
+            hit = F.coalesce(F.col(flag[rule.kind]), F.lit(False)) & hit
         spans = _numbered(rule_spans(text, rule), n)
         parts.append(F.when(hit, spans).otherwise(none))
-    return joined.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("__id", *[f"__{c}" for c in flags])
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.array_sort(F.concat(*parts)).alias(name))
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -224,13 +238,14 @@ def secret_digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     found = find_secrets(docs.select("doc_id", "text"), rules)
     base = [n for n, r in enumerate(rules) if r.base]
     of_base = F.filter("secret_spans", lambda x: x["k"].isin(base))
-    counts = [F.size(_of_rule(n)).cast("long").alias(f"n_{rules[n].kind}") for n in base]
+    counts = [F.size(_of_rule("secret_spans", n)).cast("long").alias(f"n_{rules[n].kind}") for n in base]
     return found.select("doc_id", *counts, F.sha2(span_text(of_base, rules), 256).alias("base_sha256"), span_text(F.col("secret_spans"), rules).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Replaces every span by ``mark``; spans that overlap are replaced as one. Other columns stay; a null text stays null."""
-    found = find_secrets(docs, rules)
+    (spans,) = fresh(docs, "secret_spans")
+    found = find_secrets(docs, rules, spans)
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["s"] >= acc["at"]
@@ -238,5 +253,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("secret_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text"))).drop("secret_spans")
+    clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))).drop(spans)

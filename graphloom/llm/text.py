@@ -7,15 +7,30 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Rows and bytes that one Arrow batch holds at most, so that a batch of very long texts fits a worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Rows and bytes that one Arrow batch holds at most, so that a batch of very long texts fits a worker. One size serves
+#: all operators: frames run lazily, so the setting of one would else rule another.
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 
-def bounded_batches(df: DataFrame, size: int = BATCH_BYTES) -> None:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def bounded_batches(df: DataFrame) -> None:
+    """Lowers the session's bounds to these; lower ones of the session stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added to those that a column of ``df`` has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def give_back() -> None:
@@ -36,9 +51,9 @@ def rows_of(batch: pa.RecordBatch) -> tuple[list, list[str]]:
     return batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
 
 
-def map_texts(docs: DataFrame, rows: Callable[[list, list[str]], dict[str, list]], schema: str, size: int = BATCH_BYTES) -> DataFrame:
+def map_texts(docs: DataFrame, rows: Callable[[list, list[str]], dict[str, list]], schema: str) -> DataFrame:
     """``rows`` gets the ids and texts of a batch and gives the columns of ``schema``; narrow, no shuffle."""
-    bounded_batches(docs, size)
+    bounded_batches(docs)
     names = [part.split()[0] for part in schema.split(", ")]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -73,6 +88,3 @@ class Memo(dict):
         self[key] = value = self.make(key)
         return value
 
-
-def not_null_id(docs: DataFrame) -> DataFrame:
-    return docs.filter(F.col("doc_id").isNotNull())

@@ -37,8 +37,8 @@ WORD_ROWS, CHAR_ROWS, WIDTH = 1 << 15, 1 << 16, 8
 GRAMS, PARTS = range(3, 9), 4
 #: Bounds of the training sample and of its use.
 DOCS_A_LABEL, SAMPLE_BYTES, LEAST_TO_HOLD, ROUNDS, EPOCHS, BATCH = 1200, 24 << 20, 200, 3, 6, 128
-#: Words that a scoring model remembers, words whose inputs are made at once, and bytes of one Arrow batch.
-REMEMBERED, AT_ONCE, BATCH_BYTES = 100_000, 1 << 13, 2 << 20
+#: Words that a scoring model remembers, and words whose inputs are made at once.
+REMEMBERED, AT_ONCE = 100_000, 1 << 13
 _EDGES = b".,;:!?%*#$&|\"'()[]{}<>-_"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -298,7 +298,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
         score = [0.0] * len(ids) if model is None else model.score(texts).tolist()
         return {"doc_id": ids, "score": score, "predicted": [int(s >= 0.5) for s in score]}
 
-    return map_texts(docs, rows, "doc_id long, score double, predicted int", BATCH_BYTES)
+    return map_texts(docs, rows, "doc_id long, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
@@ -313,5 +313,5 @@ def without_toxic(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
 
     if model is None:
         return docs
-    bounded_batches(docs, BATCH_BYTES)
+    bounded_batches(docs)
     return docs.filter(fine(docs["text"].cast("string")))
