@@ -5,7 +5,7 @@ smallest hash of a word triple in their head; neighbouring suffixes mostly share
 Stretches that are equal within a batch are resolved before the shuffle: only the smallest document's goes on, so what
 one passage sends grows with the number of batches, not of documents. In a task, suffixes are split by prefixes, longer
 ones where a prefix holds too many, until a group fits in memory; each group's tree is walked level by level and leaves
-that are alone are dropped. Nodes ``length`` words deep that still have several leaves are the repeats: a leaf is
+that are alone are dropped. Prefixes so are as long as memory asks, one word or up to ``length``. Nodes ``length`` words deep that still have several leaves are the repeats: a leaf is
 covered if its node holds a smaller document.
 
 Defined results: null, empty and short texts (below one window) keep all words; repeats within one document, and
@@ -29,14 +29,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import bounded_batches, give_back, words_of
-from graphloom.session import input_bytes
+from graphloom.llm.text import bounded_batches, fresh, give_back, words_of
 
 LENGTH, TRIPLE = 13, 3
-#: Input bytes that feed one group of suffixes, suffixes in one tree, bytes of text in one batch of the map side.
-GROUP_BYTES, TREE, BATCH_TEXT = 4 << 20, 1 << 20, 10 << 20
-#: Bytes of one Arrow batch.
-ARROW_BYTES = 2 << 20
+#: Bytes of text that feed one group of suffixes, suffixes in one tree, bytes of text in one batch of the map side.
+GROUP_BYTES, TREE, BATCH_TEXT = 13 << 19, 1 << 16, 10 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -217,8 +214,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, row_key, spans (array of first word and end) of what smaller documents hold already."""
-    bounded_batches(docs, ARROW_BYTES)
-    parts = max(1, -(-input_bytes(docs, ["doc_id", "text"]) // GROUP_BYTES))
+    bounded_batches(docs)
+    # Counted on the texts themselves, as files tell little of texts that pack well.
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    parts = max(1, -(-size // GROUP_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
@@ -284,12 +283,14 @@ def substring_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated stretches taken out of ``text``; a text that loses nothing stays as it is."""
-    spans = repeat_spans(docs, length).withColumnsRenamed({"doc_id": "__id", "row_key": "__key", "spans": "__spans"})
-    marked = docs.withColumn("__row", _row_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = marked.join(spans, (marked["doc_id"] == spans["__id"]) & (marked["__row"] == spans["__key"]), "left")
+    key_id, key, held, row = fresh(docs, "spans_id", "spans_key", "spans", "row_key")
+    spans = repeat_spans(docs, length).select(F.col("doc_id").alias(key_id), F.col("row_key").alias(key), F.col("spans").alias(held))
+    marked = docs.withColumn(row, _row_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = marked.join(spans, (F.col("doc_id") == F.col(key_id)) & (F.col(row) == F.col(key)), "left")
 
     @F.pandas_udf("string")
     def strip(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or sp is None or not len(sp) else b" ".join(kept_words(words_of(t), sp)).decode() for t, sp in zip(text, spans, strict=True)])
 
-    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(strip("text", "__spans"))).select(*docs.columns)
+    clean = F.when(F.col(held).isNull(), F.col("text")).otherwise(strip("text", held))
+    return joined.select(*[clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
