@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.substrings import MIX, mixed
-from graphloom.llm.text import Memo, bounded_batches, give_back, id_and_text
+from graphloom.llm.text import Memo, bounded_batches, fresh, give_back, id_and_text
 from graphloom.operators.components import connected_components
 from graphloom.session import cut
 
@@ -278,5 +278,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id names its group; rows without an id stay. Of repeated rows of one id all stay."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    (name,) = fresh(docs, "gone_id")
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
