@@ -4,8 +4,8 @@ Documents become token ids and an end id; one that is longer than a sequence is
 shorter than a sequence. Full pieces are sequences by themselves. The rest is dealt into groups of bounded size; each
 group is packed by best-fit decreasing, and dual feasible functions give a lower bound of its sequence count. Where
 count and bound meet, the group's packing is certified. What stands in groups with a gap, and in the emptiest sequence
-of the others, is exchanged: dealt anew over fewer groups and packed again, until one group is left or the bound of
-all pieces is met.
+of the others, is exchanged: dealt anew over fewer groups and packed again, until one group is left, the bound of all
+pieces is met, or a turn saves no sequence more.
 
 Defined results: a null or empty text is a piece of one token (the end id); repeated rows are packed one by one;
 without documents there are no pieces.
@@ -156,7 +156,7 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 PACKED = PIECES + ", sequence_id long, offset long, open boolean"
 
 
-def pack_groups(pieces: DataFrame, groups: int, turn: int, capacity: int, last: bool) -> DataFrame:
+def pack_groups(pieces: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame:
     """Packs each group; ``open`` marks what the next exchange may move."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -165,7 +165,7 @@ def pack_groups(pieces: DataFrame, groups: int, turn: int, capacity: int, last:
         bins, offsets, left = best_fit_decreasing(sizes, capacity)
         certified = len(left) == lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
         movable = np.zeros(len(left), bool)
-        if not last and len(left):
+        if len(left):
             movable = np.arange(len(left)) == int(left.argmax()) if certified else left > 0
             movable &= left > 0
         group = int(pdf["group"].iloc[0])
@@ -180,24 +180,27 @@ def pack_groups(pieces: DataFrame, groups: int, turn: int, capacity: int, last:
     return dealt.groupBy("group").applyInPandas(pack, PACKED + ", uid long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, turns: int = 3) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset. Full pieces have negative sequence numbers."""
     made = document_pieces(docs, tokenizer_path, pattern, capacity, end_id)
     pieces = cut(made.withColumn("uid", F.monotonically_increasing_id()))
     done = [pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})]
     rest = pieces.filter(F.col("length") < capacity)
-    n = rest.count()
-    for turn in range(turns):
-        groups = max(1, -(-n // GROUP))
-        last = groups == 1 or turn == turns - 1
-        packed = cut(pack_groups(rest, groups, turn, capacity, last))
-        done.append(packed.filter(~F.col("open")))
-        if last:
-            break
-        rest = packed.filter("open").select(*pieces.columns)
-        n = rest.count()
-        if not n:
+    counts = np.zeros(capacity + 1, np.int64)
+    for size, n in rest.groupBy("length").count().collect():
+        counts[size] = n
+    bound, n, closed, before, turn = lower_bound(counts, capacity), int(counts.sum()), 0, None, 0
+    while n:
+        groups = -(-n // GROUP)
+        packed = cut(pack_groups(rest, groups, turn, capacity))
+        made_of = {r["open"]: r for r in packed.groupBy("open").agg(F.count_distinct("sequence_id").alias("bins"), F.count("*").alias("n")).collect()}
+        total = closed + sum(r["bins"] for r in made_of.values())
+        if groups == 1 or True not in made_of or total <= bound or (before is not None and total >= before):
+            done.append(packed)
             break
+        done.append(packed.filter(~F.col("open")))
+        closed += made_of[False]["bins"] if False in made_of else 0
+        rest, n, before, turn = packed.filter("open").select(*pieces.columns), made_of[True]["n"], total, turn + 1
     columns = [x.split()[0] for x in PIECES.split(", ")] + ["sequence_id", "offset"]
     out = done[0].select(*columns)
     for part in done[1:]:

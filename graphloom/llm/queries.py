@@ -11,7 +11,7 @@ from graphloom.llm import bpe, html_text, language, media, near_dup, packing, se
 from graphloom.session import table
 
 
-def _tokenizer(name: str) -> tuple[str, str]:
+def tokenizer(name: str) -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path(name), public_tokenizers.PATTERN
@@ -57,11 +57,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.roundtrip_digests(table(spark, sf_dir, "documents"), *_tokenizer("byte_bpe_50k.tiktoken"))
+    return bpe.roundtrip_digests(table(spark, sf_dir, "documents"), *tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), *_tokenizer("byte_bpe_50k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
