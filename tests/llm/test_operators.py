@@ -234,6 +234,31 @@ def test_packing(docs):
     assert sum(r["start"] == 0 for r in out) == len(TEXTS) + 2
 
 
+def test_packing_exchanges_until_nothing_is_saved(spark, monkeypatch):
+    """Many groups with gaps: all pieces stay, once each, and the count nears that of one group."""
+    monkeypatch.setattr(packing, "GROUP", 40)
+    rng = np.random.default_rng(3)
+    docs_ = spark.createDataFrame([(i, " a" * int(n)) for i, n in enumerate(rng.integers(250, 900, 400))], "doc_id long, text string")
+    out = packing.pack_documents(docs_, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
+    assert sorted((r["doc_id"], r["piece"]) for r in out) == sorted({(r["doc_id"], r["piece"]) for r in out}) and {r["doc_id"] for r in out} == set(range(400))
+    room = {}
+    for r in out:
+        room.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in v) <= 1024 and [o for o, _ in sorted(v)] == np.cumsum([0, *[n for _, n in sorted(v)[:-1]]]).tolist() for v in room.values())
+    sizes = np.array([r["length"] for r in out])
+    whole = len(packing.best_fit_decreasing(sizes, 1024)[2])  # all pieces as one group
+    assert packing.lower_bound(np.bincount(sizes, minlength=1025), 1024) <= len(room) <= 1.06 * whole + 1
+
+
+def test_packing_ids_are_the_library(docs):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    enc = packing.encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    for _, t in rows(docs):
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_bounds():
     sizes = np.array([513] * 5 + [511] * 2)
     bins, _, left = packing.best_fit_decreasing(sizes, 1024)
