@@ -33,14 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where the setting is absent (tests)."""
-    found = spark.sparkContext.getConf().get(CHECKPOINT) or spark.conf.get(CHECKPOINT, None)
+    """The folder that driver and executors share. Where the setting is absent, a local session makes one of its own
+    (tests); a cluster must name one, as its executors see no folder of the driver."""
+    found = spark.sparkContext.getConf().get(CHECKPOINT) or spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        known = spark.sparkContext.getCheckpointDir()
-        found = known or tempfile.mkdtemp(prefix="graphloom-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(found)
-            found = spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT} must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
