@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import iso_utc, safe_label, sentences, source_anchor, source_path, word_count
-from graphloom.operators import telemetry as T
-from graphloom.operators import textlint as X
+from graphloom.functions.scalars import source_anchor, source_path
 from graphloom.session import table
 from graphloom.streaming import events as E
 
@@ -28,165 +26,8 @@ def r6(x):
     return F.round(x, 6)
 
 
-# ---- telemetry -------------------------------------------------------------------------------------------------
-
-
-def _lines(spark, d):
-    """Event rows as JSON lines; every hundredth is broken and every ninety-seventh blank."""
-    e = table(spark, d, "events")
-    body = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), "event_type", F.col("user_id").cast("string").alias("user"), "value"))
-    line = F.when(F.col("event_id") % 100 == 7, F.lit("[1]")).when(F.col("event_id") % 97 == 5, F.lit(" ")).otherwise(body)
-    return e.select(F.col("event_id").alias("ord"), line.alias("line"))
-
-
-@query("SELECT event_id AS ord FROM events ORDER BY event_id DESC LIMIT 200")
-def tel_tail(spark, d):
-    return T.tail(_lines(spark, d), 200).select("ord")
-
-
-@query("SELECT CASE WHEN event_id % 100 = 7 THEN 'malformed' WHEN event_id % 97 = 5 THEN 'blank' ELSE 'parsed' END AS state, count(*) AS n FROM events GROUP BY 1")
-def tel_accounting(spark, d):
-    return T.parse_rows(_lines(spark, d)).groupBy("state").agg(F.count("*").alias("n"))
-
-
-@query("SELECT count(*) AS n, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last FROM (SELECT date_trunc('second', ts) AS ts FROM events WHERE event_id % 100 <> 7 AND event_id % 97 <> 5) WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'")
-def tel_window(spark, d):
-    rows = T.parse_rows(_lines(spark, d)).filter("state = 'parsed'").select("row.*").withColumn("t", T.timestamp_of("ts"))
-    held = rows.filter(F.col("t").between(1704412800, 1704844800))
-    return held.agg(F.count("*").alias("n"), iso_utc(F.min("t")).alias("first"), iso_utc(F.max("t")).alias("last"))
-
-
-@query("SELECT event_type AS label, count(*) AS n FROM events WHERE event_id % 100 <> 7 AND event_id % 97 <> 5 GROUP BY 1")
-def tel_event_counts(spark, d):
-    return T.label_counts(T.parse_rows(_lines(spark, d)).filter("state = 'parsed'").select("row.*"), ["event_type"])
-
-
-@query("WITH p AS (SELECT * FROM events WHERE event_id % 100 <> 7 AND event_id % 97 <> 5) SELECT 'ts' AS field, count(ts) AS n FROM p UNION ALL SELECT 'event_type', count(event_type) FROM p UNION ALL SELECT 'user', count(user_id) FROM p UNION ALL SELECT 'value', count(value) FROM p")
-def tel_field_counts(spark, d):
-    return T.field_counts(T.parse_rows(_lines(spark, d)).filter("state = 'parsed'").select("row.*"), ["ts", "event_type", "user", "value", "k"]).filter("n > 0")
-
-
-SUMMARY = "count(value) AS n, round(min(value), 6) AS min, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS median, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max, round(stddev_pop(value), 6) AS sd"
-
-
-@query(f"SELECT {SUMMARY} FROM events")
-def tel_numeric_summary(spark, d):
-    return T.summary(table(spark, d, "events"), "value")
-
-
-@query(f"SELECT event_type, {SUMMARY} FROM events GROUP BY event_type")
-def tel_group_metrics(spark, d):
-    return T.summary(table(spark, d, "events"), "value", ["event_type"])
-
-
-LABELS = "('ok'), (''), (NULL), ('my_token'), ('0123456789abcdef01'), ('a;b'), ('fill'), ('" + "x" * 70 + "')"
-
-
-@query(f"SELECT v AS raw, CASE WHEN v IS NULL OR trim(v) = '' THEN 'unknown' WHEN regexp_matches(lower(v), 'secret|token|password|passwd|api_key|apikey|private|wallet|auth|key') OR length(v) > 64 OR regexp_matches(v, '^(0x)?[0-9a-fA-F]{{16,}}$') OR NOT regexp_full_match(v, '[A-Za-z0-9 ._:/+-]*') THEN 'redacted_label' ELSE v END AS shown FROM (VALUES {LABELS}) t(v)")
-def tel_redaction(spark, d):
-    return spark.sql(f"SELECT v AS raw FROM VALUES {LABELS} AS t(v)").select("raw", safe_label("raw").alias("shown"))
-
-
-# ---- text ------------------------------------------------------------------------------------------------------
-
-EN = "(SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '`[^`]*`', ' ', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), 'https?://[^\\s]+', ' ', 'g'), '[*_]+', '', 'g') AS text FROM documents WHERE lang = 'en')"
-SENT = f"(SELECT path, unnest(range(len(s))) AS n, unnest(s) AS sentence FROM (SELECT path, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(31) || '\\2', 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') AS s FROM {EN}))"
-WORD = "len(regexp_extract_all(sentence, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)*'))"
-
-
-def _english(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("path"), "text")
-
-
-@query(f"SELECT path, count(*) AS n FROM {SENT} GROUP BY path")
-def txt_sentences(spark, d):
-    return X.sentence_rows(_english(spark, d)).groupBy("path").agg(F.count("*").alias("n"))
-
-
-@query(f"SELECT path, CAST(sum({WORD}) AS BIGINT) AS words FROM {SENT} GROUP BY path")
-def txt_word_count(spark, d):
-    return X.sentence_rows(_english(spark, d)).groupBy("path").agg(F.sum(word_count("sentence")).alias("words"))
-
-
-@query(f"SELECT path, n, {WORD} AS words FROM {SENT} WHERE {WORD} > 25")
-def txt_long_sentence(spark, d):
-    return X.long_sentences(_english(spark, d))
-
-
-@query(f"SELECT path, count(*) AS n FROM {SENT} GROUP BY path HAVING count(*) > 6")
-def txt_long_paragraph(spark, d):
-    return X.long_paragraphs(_english(spark, d))
-
-
-@query(f"SELECT path, n FROM {SENT} WHERE regexp_matches(sentence, '{X.PASSIVE}')")
-def txt_passive(spark, d):
-    return X.sentence_hits(_english(spark, d), X.PASSIVE)
-
-
-@query(f"SELECT path, n FROM {SENT} WHERE regexp_matches(sentence, '{X.DOUBLE}')")
-def txt_multi_command(spark, d):
-    return X.sentence_hits(_english(spark, d), X.DOUBLE)
-
-
-SAMPLES = [("a", "It can't stop; use the colour e.g. red."), ("b", "NOTE: Click the button."), ("c", "WARNING: Keep clear."), ("d", "WARNING: Risk of fire."), ("e", "A plain line.")]
-SAMPLE_SQL = "(VALUES " + ", ".join("('{}', '{}')".format(p, t.replace("'", "''")) for p, t in SAMPLES) + ") t(path, text)"
-
-
-def _samples(spark):
-    return spark.createDataFrame(SAMPLES, "path string, text string")
-
-
-def _occurs(name: str, pattern: str, rule: str):
-    def run(spark, d):
-        return X.occurrences(_samples(spark), pattern, rule)
-
-    Q[name] = run
-    O[name] = "SELECT path, '{}' AS rule, unnest(regexp_extract_all(text, '{}', 0)) AS detail FROM {}".format(rule, pattern.replace("'", "''"), SAMPLE_SQL)
-
-
-_occurs("txt_contractions", X.CONTRACTIONS, "STE-4.2")
-_occurs("txt_semicolon", ";", "STE-8.1")
-_occurs("txt_spelling", X.BRITISH, "STE-1.14")
-_occurs("txt_latin", X.LATIN, "STE-GR-6")
-
-
-@query(f"SELECT path FROM {SAMPLE_SQL} WHERE text LIKE 'NOTE:%' AND lower(regexp_extract(substr(text, 6), '[A-Za-z]+', 0)) IN {X.IMPERATIVE}")
-def txt_note(spark, d):
-    first = F.lower(F.regexp_extract(F.substring("text", 6, 10000), "[A-Za-z]+", 0))
-    return _samples(spark).filter(F.startswith("text", F.lit("NOTE:")) & first.isin(*X.IMPERATIVE)).select("path")
-
-
-@query(f"SELECT path FROM {SAMPLE_SQL} WHERE regexp_matches(text, '^(WARNING|CAUTION):') AND NOT regexp_matches(text, '{X.RISK}')")
-def txt_safety(spark, d):
-    return _samples(spark).filter(F.col("text").rlike("^(WARNING|CAUTION):") & ~F.col("text").rlike(X.RISK)).select("path")
-
-
-@query(f"SELECT CASE WHEN {WORD} > 25 THEN 'error' ELSE 'none' END AS severity, count(*) AS n FROM {SENT} GROUP BY 1")
-def txt_severity(spark, d):
-    s = X.sentence_rows(_english(spark, d))
-    return s.groupBy(F.when(word_count("sentence") > 25, "error").otherwise("none").alias("severity")).agg(F.count("*").alias("n"))
-
-
-@query()
-def txt_blocks(spark, d):
-    return X.blocks(spark.createDataFrame([("a.md", "---\nx: 1\n---\n# H\n\nOne\ntwo\n\n- item\n- next\n\n```\ncode\n```\nlast")], "path string, text string"))
-
-
 # ---- sources ---------------------------------------------------------------------------------------------------
 
-SECRET = [("private key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("access key", "AKIA[A-Z0-9]{12}"), ("assignment", "(?i)(password|secret|token|api_key)[ ]*[:=]")]
-
-
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in SECRET) + " WHEN strlen(text) > 2097152 THEN 'too large' ELSE 'ok' END AS verdict FROM documents")
-def sec_preflight(spark, d):
-    docs = table(spark, d, "documents")
-    verdict = None
-    for name, p in SECRET:
-        hit = F.col("text").rlike(p)
-        verdict = F.when(hit, name) if verdict is None else verdict.when(hit, name)
-    return docs.select("doc_id", verdict.when(F.octet_length("text") > 2097152, "too large").otherwise("ok").alias("verdict"))
-
-
 @query("SELECT doc_id, line, regexp_replace(trim(t), '\\s+', ' ', 'g') AS snippet FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE contains(lower(t), 'license') OR (contains(lower(t), 'the') AND contains(lower(t), 'worthless')) ORDER BY doc_id, line LIMIT 40")
 def src_line_search(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "t"))

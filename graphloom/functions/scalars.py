@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the form of node ids.
+ID = r"^[a-z0-9_-]+:[^\s]+$"
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -29,7 +33,8 @@ def assertion_id(a, rel, b, source) -> Column:
 
 
 def is_node_id(x) -> Column:
-    return _c(x).rlike(r"^[a-z][a-z0-9_-]*:[A-Za-z0-9._-]+$")
+    """``type:slug``: lower case, digits, ``_`` and ``-`` before the colon, no white space after it."""
+    return _c(x).rlike(ID)
 
 
 def py_str(x: Column, kind: str) -> Column:
@@ -38,19 +43,35 @@ def py_str(x: Column, kind: str) -> Column:
     return F.when(x.isNull(), F.lit("None")).otherwise(text)
 
 
-#: Markers of keys that are never shown.
-SENSITIVE = ("secret", "token", "password", "passwd", "api_key", "apikey", "private", "wallet", "auth", "key")
+# Markers of keys that are never shown, and forms of labels and ids.
+SENSITIVE = ("secret", "token", "key", "wallet", "address", "signature", "auth", "bearer")
+SAFE = r"^[A-Za-z0-9_.:_-]{1,64}$"
+HEX_ID = r"^(0x)?[0-9a-fA-F]{16,}$"
+LONG_ID = r"^[0-9]{12,}$"
 
 
 def is_sensitive(x) -> Column:
     return F.lower(_c(x)).rlike("|".join(SENSITIVE))
 
 
+def strip(x) -> Column:
+    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+
+
+def _looks_like_id(x: Column) -> Column:
+    return x.rlike(HEX_ID) | x.rlike(LONG_ID)
+
+
 def safe_label(x) -> Column:
-    """A shown value: missing as unknown, anything secret-like or long as redacted."""
-    c = _c(x)
-    odd = is_sensitive(c) | (F.length(c) > 64) | c.rlike("^(0x)?[0-9a-fA-F]{16,}$") | ~c.rlike(r"^[A-Za-z0-9 ._:/+-]*$")
-    return F.when(c.isNull() | (F.trim(c) == ""), F.lit("unknown")).when(odd, F.lit("redacted_label")).otherwise(c)
+    """A shown value: missing as unknown; anything but a short plain label, or secret-like, or an id, as redacted."""
+    c = strip(x)
+    return F.when(c.isNull(), "unknown").when(~c.rlike(SAFE) | is_sensitive(c) | _looks_like_id(c), "redacted_label").otherwise(c)
+
+
+def safe_segment(x) -> Column:
+    """A shown part of a field's path."""
+    c = strip(x)
+    return F.when(c == "", "empty_key").when(is_sensitive(c), "redacted_key").when(_looks_like_id(c), "dynamic_id").when(~c.rlike(SAFE), "dynamic_key").otherwise(c)
 
 
 def epoch(x: Column) -> Column:
@@ -63,22 +84,44 @@ def iso_utc(seconds) -> Column:
 
 
 def clean_inline(x) -> Column:
-    """Text without inline code, images, link targets, bare addresses and emphasis marks."""
-    out = F.regexp_replace(_c(x), "`[^`]*`", " ")
-    out = F.regexp_replace(out, r"!\[[^\]]*\]\([^)]*\)", " ")
-    out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"https?://[^\s]+", " ")
-    return F.regexp_replace(out, r"[*_]+", "")
+    """Text with link labels for links, CODE and URL for inline code and bare addresses, without emphasis marks."""
+    out = _c(x)
+    for pattern, by in ((r"\[([^\]]+)\]\([^\)]+\)", "$1"), ("`[^`]*`", " CODE "), (r"(?U)https?://\S+", " URL "), (r"!\[([^\]]*)\]", "$1"), ("[*_~]", "")):
+        out = F.regexp_replace(out, pattern, by)
+    return out
+
+
+def first_word(x) -> Column:
+    """The first run of letters of the cleaned text, in lower case; empty if none."""
+    return F.lower(F.regexp_extract(clean_inline(x), "[A-Za-z]+", 0))
 
 
 def sentences(x) -> Column:
-    """Split after . ! ? where white space and a capital or digit follow."""
-    marked = F.regexp_replace(_c(x), r"([.!?])\s+([A-Z0-9])", "$1\x1f$2")
-    return F.filter(F.transform(F.split(marked, "\x1f"), lambda s: F.trim(s)), lambda s: s != "")
+    """Of the cleaned text: split after . ! ? where white space and a capital or digit follow, but not after the points of
+    initials and of some abbreviations."""
+    held = F.regexp_replace(clean_inline(x), r"(?U)\b([A-Za-z])\.([A-Za-z])\.", "$1§$2§")
+    held = F.regexp_replace(held, r"(?U)\b(Mr|Mrs|Ms|Dr|No|Fig|Eq)\.", "$1§")
+    marked = F.regexp_replace(held, r"(?U)([.!?])\s+([A-Z0-9])", "$1\x1f$2")
+    parts = F.transform(F.split(marked, "\x1f"), lambda s: strip(F.replace(s, F.lit("§"), F.lit("."))))
+    return F.filter(parts, lambda s: s != "")
+
+
+UNITS = "%|°[CF]?|A|cm|ft|g|h|Hz|in|kg|km|kPa|L|lb|m|mA|mg|min|mm|Nm|ohm|psi|s|V|W"  # Fixed values: units of measure.
 
 
 def word_count(x) -> Column:
-    return F.regexp_count(_c(x), F.lit(r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*"))
+    """Words of a sentence; a parenthesis, a quotation and a measure count as one word each."""
+    out = clean_inline(x)
+    out = F.regexp_replace(out, r"\([^()]*\)", " PAREN ")
+    out = F.regexp_replace(out, "“[^”]*”|\"[^\"]*\"", " QUOTED ")
+    out = F.regexp_replace(out, rf"(?iU)\b\d+(?:\.\d+)?\s*(?:{UNITS})\b", " MEASURE ")
+    return F.regexp_count(out, F.lit(r"(?U)\b[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*\b"))
+
+
+def excerpt(x, most: int = 140) -> Column:
+    """One line of at most ``most`` characters."""
+    line = strip(F.regexp_replace(_c(x), r"(?U)\s+", " "))
+    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.substring(line, 1, most - 1), F.lit("…")))
 
 
 def xml_escape(x) -> Column:
