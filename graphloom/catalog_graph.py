@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import assertion_id, is_node_id, norm, source_path, xml_escape
+from graphloom.functions.scalars import assertion_id, is_node_id, norm, source_path
+from graphloom.operators import exports as X
 from graphloom.operators import graph as G
 from graphloom.operators import mutate as M
 from graphloom.operators import validate as V
@@ -87,14 +88,13 @@ def kg_optional(spark, d):
 
 
 @query(
-    "WITH a AS (SELECT DISTINCT 'order:' || o_orderkey AS o, CASE WHEN l_partkey IS NOT NULL THEN 'part:' || l_partkey END AS p FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey), "
-    "b AS (SELECT DISTINCT 'part:' || l_partkey AS p, 'supplier:' || l_suppkey AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 1) "
-    "SELECT DISTINCT a.o, coalesce(a.p, b.p) AS p, b.s FROM a LEFT JOIN b ON a.p IS NULL OR a.p = b.p"
+    f"{cte()}, e AS ({S.TRADES_SQL}), a AS (SELECT 'supplier:' || s_suppkey AS s, e.t AS x FROM supplier LEFT JOIN e ON e.f = 'supplier:' || s_suppkey), b AS (SELECT f AS x, t AS n FROM edges) "
+    "SELECT DISTINCT a.s, coalesce(a.x, b.x) AS x, b.n FROM a LEFT JOIN b ON a.x IS NULL OR a.x = b.x"
 )
 def kg_optional_chain(spark, d):
-    e = S.edges(spark, d, ("includes", "supplied_by"))
-    e = e.filter((F.col("rel") != "supplied_by") | (F.col("to") == "supplier:1"))
-    return Graph(S.nodes(spark, d, ("Order", "Part", "Supplier")), e, {}).query(["?o type Order"], optional=("?o includes ?p", "?p supplied_by ?s"))
+    """The last supplier of a nation trades with none after it, so its ``?x`` is free for the second pattern."""
+    graph = Graph(S.nodes(spark, d), S.edges(spark, d, ("part_of", "trades_with")), {})
+    return graph.query(["?s type Supplier"], optional=("?s trades_with ?x", "?x part_of ?n"))
 
 
 @query("SELECT 'order:' || o_orderkey AS o FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -177,13 +177,11 @@ def kg_components(spark, d):
 @query(
     f"WITH RECURSIVE e AS ({S.TRADES_SQL}), n AS (SELECT 'supplier:' || s_suppkey AS id FROM supplier), b AS (SELECT f, t FROM e UNION SELECT t, f FROM e), "
     "c AS (SELECT id, id AS m FROM n UNION SELECT b.t, c.m FROM c JOIN b ON b.f = c.id WHERE c.m < b.t), comp AS (SELECT id, min(m) AS component FROM c GROUP BY id), s AS (SELECT component, count(*) AS size FROM comp GROUP BY 1) "
-    "SELECT component, size, CASE WHEN size = (SELECT max(size) FROM s) THEN 'main' WHEN size = 1 THEN 'orphan' ELSE 'island' END AS kind FROM s"
+    "SELECT component, size, CASE WHEN component = (SELECT component FROM s ORDER BY size DESC, component LIMIT 1) THEN 'main' WHEN size = 1 THEN 'orphan' ELSE 'island' END AS kind FROM s"
 )
 def kg_orphans(spark, d):
     comp = G.components(S.nodes(spark, d, ("Supplier",)), S.edges(spark, d, ("trades_with",)))
-    size = comp.groupBy("component").agg(F.count("*").alias("size"))
-    top = size.agg(F.max("size").alias("top"))
-    return size.crossJoin(top).select("component", "size", F.when(F.col("size") == F.col("top"), "main").when(F.col("size") == 1, "orphan").otherwise("island").alias("kind"))
+    return G.orphans(comp).select("component", "size", "kind")
 
 
 def _pagerank_sql() -> str:
@@ -198,10 +196,14 @@ def kg_pagerank(spark, d):
     return G.pagerank(S.nodes(spark, d), S.edges(spark, d)).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(f"WITH e AS ({S.SUPPLIED_SQL}), s AS (SELECT * FROM e WHERE f IN (SELECT 'part:' || p_partkey FROM part WHERE p_size <= 5)), nb AS (SELECT f AS a, t AS b FROM s UNION SELECT t, f FROM s), z AS (SELECT a, count(*) AS n FROM nb GROUP BY a), x AS (SELECT p.a, q.a AS c, count(*) AS shared FROM nb p JOIN nb q ON p.b = q.b AND p.a < q.a GROUP BY 1, 2) SELECT x.a, x.c AS b, shared, round(shared / CAST(u.n + v.n - shared AS DOUBLE), 6) AS jaccard FROM x JOIN z u ON u.a = x.a JOIN z v ON v.a = x.c")
+@query(f"WITH e AS ({S.SUPPLIED_SQL}), nb AS (SELECT f AS a, t AS b FROM e UNION SELECT t, f FROM e), z AS (SELECT a, count(*) AS n FROM nb GROUP BY a), x AS (SELECT q.a, count(*) AS shared FROM nb p JOIN nb q ON p.b = q.b AND p.a = 'supplier:1' AND q.a <> 'supplier:1' GROUP BY 1) SELECT x.a AS id, shared, round(shared / CAST(z.n + (SELECT n FROM z WHERE a = 'supplier:1') - shared AS DOUBLE), 6) AS jaccard, false AS linked FROM x JOIN z ON z.a = x.a ORDER BY jaccard DESC, id DESC LIMIT 8")
 def kg_similar(spark, d):
-    small = table(spark, d, "part").filter("p_size <= 5").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("from"))
-    return G.similar(S.edges(spark, d, ("supplied_by",)).join(small, "from", "left_semi"))
+    return G.similar_to(S.edges(spark, d, ("supplied_by",)), "supplier:1")
+
+
+@query("WITH nb AS (SELECT 'supplier:' || s_suppkey AS a, 'nation:' || s_nationkey AS b FROM supplier), z AS (SELECT b, count(*) AS n FROM nb GROUP BY b) SELECT p.a, q.a AS b, 1 AS shared, 1.0 AS jaccard FROM nb p JOIN nb q ON p.b = q.b AND p.a < q.a")
+def kg_similar_pairs(spark, d):
+    return G.similar(S.edges(spark, d).filter("`from` LIKE 'supplier:%'")).filter("a LIKE 'supplier:%'")
 
 
 @query()
@@ -265,11 +267,11 @@ def kg_context_ring(spark, d):
 
 # Validation over the graph with injected faults; the SQL side injects the same rows.
 BAD_NODES = [("Bad Id", "Supplier", "x", ["s#1"]), ("part:zzz", "Widget", "y", ["s#2"]), ("nation:nolabel", "Nation", None, []), ("thing:untyped", None, "t", ["s#3"])]
-BAD_EDGES = [("supplier:1", "part_of", "nation:none", "s#9"), ("nation:1", "part_of", "nation:1", "s#8"), ("customer:1", "unknown_rel", "nation:1", ""), ("region:1", "part_of", "supplier:2", "bad ref"), ("region:2", "contains", "nation:1", "s#7")]
+BAD_EDGES = [("supplier:1", "part_of", "nation:none", "s#9"), ("nation:1", "part_of", "nation:1", "s#8"), ("customer:1", "unknown_rel", "nation:1", ""), ("region:2", "part_of", "supplier:2", "bad ref"), ("region:1", "contains", "nation:1", "s#7")]
 VALID_SQL = (
     "WITH n0 AS (" + S.NODES_SQL.split("AS (", 1)[1][:-1] + "), nodes AS (SELECT * FROM n0 UNION ALL VALUES ('Bad Id', 'Supplier', 'x', 's#1'), ('part:zzz', 'Widget', 'y', 's#2'), ('nation:nolabel', 'Nation', NULL, NULL), ('thing:untyped', NULL, 't', 's#3')), "
     "edges AS (" + S.PART_OF_SQL + " UNION ALL " + S.TRADES_SQL + " UNION ALL SELECT t, rel, f, source FROM (" + S.TRADES_SQL + ") WHERE f = 'supplier:0' "
-    "UNION ALL VALUES ('supplier:1', 'part_of', 'nation:none', 's#9'), ('nation:1', 'part_of', 'nation:1', 's#8'), ('customer:1', 'unknown_rel', 'nation:1', ''), ('region:1', 'part_of', 'supplier:2', 'bad ref'), ('region:2', 'contains', 'nation:1', 's#7')) "
+    "UNION ALL VALUES ('supplier:1', 'part_of', 'nation:none', 's#9'), ('nation:1', 'part_of', 'nation:1', 's#8'), ('customer:1', 'unknown_rel', 'nation:1', ''), ('region:2', 'part_of', 'supplier:2', 'bad ref'), ('region:1', 'contains', 'nation:1', 's#7')) "
 )
 
 
@@ -295,7 +297,7 @@ def rule(name: str, sql: str):
     O[run.__name__] = VALID_SQL + sql
 
 
-rule("ids", "SELECT id AS subject, 'node id' AS detail FROM nodes WHERE NOT regexp_full_match(id, '[a-z][a-z0-9_-]*:[A-Za-z0-9._-]+')")
+rule("ids", "SELECT id AS subject, 'node id' AS detail FROM nodes WHERE NOT regexp_full_match(id, '[a-z0-9_-]+:[^\s]+')")
 rule("types", "SELECT id AS subject, CASE WHEN label IS NULL THEN 'no label' WHEN type IS NULL THEN 'no type' ELSE 'undeclared type' END AS detail FROM nodes WHERE label IS NULL OR type IS NULL OR type NOT IN ('Region', 'Nation', 'Supplier', 'Customer', 'Party')")
 rule("provenance", "SELECT id AS subject, 'no source' AS detail FROM nodes WHERE src IS NULL")
 rule("dangling", "SELECT f || ' ' || rel || ' ' || t AS subject, 'from' AS detail FROM edges WHERE f NOT IN (SELECT id FROM nodes) UNION ALL SELECT f || ' ' || rel || ' ' || t, 'to' FROM edges WHERE t NOT IN (SELECT id FROM nodes)")
@@ -353,25 +355,33 @@ def kg_refresh_conflicts(spark, d):
     return M.refresh_nodes(S.nodes(spark, d), _staged(spark, d))[1]
 
 
-@query(cte() + " SELECT n.id, coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') AS sources FROM nodes n LEFT JOIN (SELECT f AS i, source FROM edges UNION ALL SELECT t, source FROM edges) e ON e.i = n.id GROUP BY n.id")
-def kg_migrate(spark, d):
-    return M.backfill_sources(S.nodes(spark, d), S.edges(spark, d)).select("id", F.array_join("sources", ",").alias("sources"))
+def _csv(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '[,\"\\n\\r]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
 
 
-@query(cte() + " SELECT id || ',' || type || ',' || label AS line FROM nodes")
+@query(cte() + f" SELECT 'nodes' AS file, -1 AS ord, 'id,type,label,aliases,sources' AS line UNION ALL SELECT 'nodes', 0, {_csv('id')} || ',' || {_csv('type')} || ',' || {_csv('label')} || ',,' || {_csv('src')} FROM nodes UNION ALL SELECT 'edges', -1, 'from,rel,to,source,recorded' UNION ALL SELECT 'edges', 0, {_csv('f')} || ',' || {_csv('rel')} || ',' || {_csv('t')} || ',' || {_csv('source')} || ',2024-01-01' FROM edges")
 def kg_export_csv(spark, d):
-    return S.nodes(spark, d).select(F.concat_ws(",", "id", "type", "label").alias("line"))
+    return X.csv_lines(S.nodes(spark, d), S.edges(spark, d))
+
 
+def _esc(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
-@query(cte() + " SELECT '<node id=\"' || id || '\"><data key=\"label\">' || replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</data></node>' AS line FROM nodes UNION ALL SELECT '<edge source=\"' || f || '\" target=\"' || t || '\"><data key=\"rel\">' || rel || '</data></edge>' FROM edges WHERE f IN (SELECT id FROM nodes) AND t IN (SELECT id FROM nodes)")
+
+@query(cte() + f" SELECT line FROM (VALUES {', '.join(chr(40) + chr(39) + h + chr(39) + chr(41) for h in X.GRAPHML_HEAD + X.GRAPHML_FOOT)}) t(line) UNION ALL SELECT '<node id=\"' || {_esc('id')} || '\"><data key=\"label\">' || {_esc('label')} || '</data><data key=\"type\">' || {_esc('type')} || '</data></node>' FROM nodes UNION ALL SELECT '<edge source=\"' || {_esc('f')} || '\" target=\"' || {_esc('t')} || '\"><data key=\"rel\">' || {_esc('rel')} || '</data></edge>' FROM edges SEMI JOIN nodes ON nodes.id = t")
 def kg_export_graphml(spark, d):
-    n, e = S.nodes(spark, d), S.edges(spark, d)
-    lines = n.select(F.concat(F.lit('<node id="'), xml_escape("id"), F.lit('"><data key="label">'), xml_escape("label"), F.lit("</data></node>")).alias("line"))
-    inside = e.join(n.select(F.col("id").alias("from")), "from", "left_semi").join(n.select(F.col("id").alias("to")), "to", "left_semi")
-    return lines.unionByName(inside.select(F.concat(F.lit('<edge source="'), xml_escape("from"), F.lit('" target="'), xml_escape("to"), F.lit('"><data key="rel">'), F.col("rel"), F.lit("</data></edge>")).alias("line")))
+    return X.graphml_lines(S.nodes(spark, d), S.edges(spark, d)).select("line")
 
 
-@query(cte() + " SELECT f || ' -->|' || rel || '| ' || t AS line FROM (SELECT * FROM edges ORDER BY f, t, source LIMIT 300)")
+@query(cte() + ", n AS (SELECT id, label, 'n' || (row_number() OVER (ORDER BY id) - 1) AS k FROM nodes), e AS (SELECT * FROM edges ORDER BY f, t, source LIMIT 300) SELECT 'graph LR' AS line UNION ALL SELECT '  ' || k || '[\"' || replace(label, '\"', chr(39)) || '\"]' FROM n WHERE id IN (SELECT f FROM e UNION SELECT t FROM e) UNION ALL SELECT '  ' || a.k || ' -->|' || rel || '| ' || b.k FROM e JOIN n a ON a.id = f JOIN n b ON b.id = t UNION ALL SELECT '  %% truncated at 300 edges' FROM (SELECT count(*) AS c FROM edges) WHERE c > 300")
 def kg_export_mermaid(spark, d):
-    e = S.edges(spark, d).orderBy("from", "to", "source").limit(300)
-    return e.select(F.concat_ws("", "from", F.lit(" -->|"), "rel", F.lit("| "), "to").alias("line"))
+    return X.mermaid_lines(S.nodes(spark, d), S.edges(spark, d)).select("line")
+
+
+@query(cte() + DEG + " SELECT n.id, type, label, degree FROM nodes n JOIN deg ON deg.id = n.id")
+def kg_export_html(spark, d):
+    """The viewer's payload, read back from its JSON."""
+    page = X.html_page(S.nodes(spark, d), S.edges(spark, d))
+    payload = F.regexp_extract("html", r'(?s)<script type="application/json" id="graph">(.*?)</script>', 1)
+    read = page.select(F.from_json(F.replace(payload, F.lit("<\\/"), F.lit("</")), "nodes array<struct<id:string,type:string,label:string,degree:long>>").alias("g"))
+    return read.select(F.explode("g.nodes").alias("n")).select("n.*")

@@ -29,15 +29,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("from").alias("a"), F.col("to").alias("b")).union(edges.select(F.col("to").alias("a"), F.col("from").alias("b"))).distinct()
 
 
-def neighborhood(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1) -> DataFrame:
-    """(depth, from, rel, to): assertions met in breadth-first order, also those back to visited nodes."""
+def neighborhood(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, rel: str | None = None, direction: str = "both") -> DataFrame:
+    """(depth, from, rel, to): assertions met in breadth-first order, also those back to visited nodes; of one relation
+    and one direction (out, in) if asked."""
+    if direction not in ("out", "in", "both"):
+        raise ValueError(f"no such direction: {direction}")
+    edges = edges.filter(F.col("rel") == rel) if rel else edges
     known = nodes.select("id")
     frontier = known.filter(F.col("id") == start)
     seen, out = frontier, None
     for d in range(1, depth + 1):
-        out_edges = edges.join(frontier, edges["from"] == frontier["id"], "left_semi").join(known, F.col("to") == known["id"], "left_semi").select("from", "rel", "to", F.col("to").alias("other"))
-        in_edges = edges.join(frontier, edges["to"] == frontier["id"], "left_semi").join(known, F.col("from") == known["id"], "left_semi").select("from", "rel", "to", F.col("from").alias("other"))
-        met = cut(out_edges.unionByName(in_edges).distinct())
+        met = None
+        for own, other in (("from", "to"), ("to", "from")):
+            if direction == {"from": "in", "to": "out"}[own]:
+                continue
+            side = edges.join(frontier, edges[own] == frontier["id"], "left_semi").join(known, F.col(other) == known["id"], "left_semi").select("from", "rel", "to", F.col(other).alias("other"))
+            met = side if met is None else met.unionByName(side)
+        met = cut(met.distinct())
         row = met.select(F.lit(d).alias("depth"), "from", "rel", "to").distinct()
         out = row if out is None else out.unionByName(row)
         frontier = met.select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti")
@@ -45,29 +53,61 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1)
     return out
 
 
-def distances(edges: DataFrame, start: str, most: int = 64, directed: bool = False) -> DataFrame:
-    """(id, distance) of all that breadth-first search reaches from ``start``."""
-    step = edges.select(F.col("from").alias("id"), F.col("to").alias("next"))
-    if not directed:
-        step = step.union(edges.select(F.col("to").alias("id"), F.col("from").alias("next")))
-    step = cut(step.distinct())
-    spark = edges.sparkSession
-    rounds = [cut(spark.createDataFrame([(start, 0)], "id string, distance int"))]
-    for d in range(1, most + 1):
-        seen = rounds[0]
-        for r in rounds[1:]:
-            seen = seen.unionByName(r)
-        new = cut(rounds[-1].join(step, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("distance", F.lit(d)))
-        if new.isEmpty():
-            return seen
-        rounds.append(new)
-    raise RuntimeError("the search did not end")
+def _steps(edges: DataFrame, directed: bool, rels: list[str] | None) -> DataFrame:
+    of_rel = edges.filter(F.col("rel").isin(rels)) if rels else edges
+    step = of_rel.select(F.col("from").alias("id"), F.col("to").alias("next"), "rel", F.lit(0).alias("turned"))
+    return step if directed else step.unionByName(of_rel.select(F.col("to").alias("id"), F.col("from").alias("next"), "rel", F.lit(1).alias("turned")))
+
+
+def distances(edges: DataFrame, start: str, directed: bool = False, rels: list[str] | None = None) -> DataFrame:
+    """(id, distance) of all that breadth-first search reaches from ``start``, however far."""
+    return _search(edges, start, directed, rels, None)[0].select("id", "distance")
+
+
+def _search(edges: DataFrame, start: str, directed: bool, rels: list[str] | None, goal: str | None) -> tuple[DataFrame, bool]:
+    """(id, distance, came, rel, turned) of what is reached, each by its least step (predecessor, direction, relation), and
+    whether the goal is among it. Visited rows are written again now and then, so plans stay short."""
+    step = cut(_steps(edges, directed, rels).distinct())
+    seen = cut(edges.sparkSession.createDataFrame([(start, 0, None, None, None)], "id string, distance int, came string, rel string, turned int"))
+    last, d = seen, 0
+    while True:
+        d += 1
+        ways = last.select("id").join(step, "id").join(seen.select(F.col("id").alias("next")), "next", "left_anti")
+        new = ways.groupBy("next").agg(F.min(F.struct(F.col("id").alias("came"), "turned", "rel")).alias("w"))
+        last = cut(new.select(F.col("next").alias("id"), F.lit(d).alias("distance"), "w.came", "w.rel", "w.turned"))
+        if last.isEmpty():
+            return seen, False
+        seen = seen.unionByName(last)
+        seen = cut(seen) if d % 8 == 0 else seen
+        if goal is not None and not last.filter(F.col("id") == goal).isEmpty():
+            return seen, True
+
+
+def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str, directed: bool = False, rels: list[str] | None = None) -> DataFrame:
+    """(place, id, rel, turned) of a path of fewest steps: of several, each node's least predecessor; ``rel`` and
+    ``turned`` (1: against the assertion) tell the step to the node. Raises where there is none. Rows are as many as steps."""
+    known = {r[0] for r in nodes.filter(F.col("id").isin(start, goal)).select("id").collect()}
+    if lost := {start, goal} - known:
+        raise ValueError(f"no such node: {sorted(lost)}")
+    spark, schema = nodes.sparkSession, "place int, id string, rel string, turned int"
+    if start == goal:
+        return spark.createDataFrame([(0, start, None, None)], schema)
+    inside = edges.join(nodes.select(F.col("id").alias("from")), "from", "left_semi").join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
+    seen, found = _search(inside, start, directed, rels, goal)
+    if not found:
+        raise ValueError(f"no path from {start} to {goal}")
+    rows, at = [], goal
+    while at != start:
+        r = seen.filter(F.col("id") == at).first()
+        rows.append((r["distance"], at, r["rel"], r["turned"]))
+        at = r["came"]
+    return spark.createDataFrame([(0, start, None, None), *reversed(rows)], schema)
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 25, damping: float = 0.85) -> DataFrame:
     """(id, rank): synchronous rounds; parallel assertions weigh; what dangles is not dealt out again."""
     known = cut(nodes.select("id"))
-    n = known.count()
+    n = max(1, known.count())
     out = edges.groupBy("from").agg(F.count("*").alias("out"))
     flow = cut(edges.join(known, edges["to"] == known["id"], "left_semi").groupBy("from", "to").agg(F.count("*").alias("w")).join(out, "from").select(F.col("from").alias("id"), "to", (F.col("w") / F.col("out")).alias("w")))
     rank = known.withColumn("rank", F.lit(1.0 / n))
@@ -79,6 +119,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 25, damping: floa
     return rank
 
 
+def important(nodes: DataFrame, edges: DataFrame, top: int = 12) -> DataFrame:
+    """(id, rank, degree) of the highest ranks; ties by degree, then id."""
+    ranked = pagerank(nodes, edges).withColumn("rank", F.round("rank", 9))
+    return ranked.join(degree(nodes, edges), "id").orderBy(F.desc("rank"), F.desc("degree"), "id").limit(top)
+
+
+def similar_to(edges: DataFrame, node: str, top: int = 8, rounding: int = 6) -> DataFrame:
+    """(id, shared, jaccard, linked): nodes that share neighbours with one node, most alike first, ids descending;
+    ``linked`` tells those that it has an assertion with. Work goes with the neighbours of its neighbours."""
+    nb = both_ways(edges)
+    own = nb.filter(F.col("a") == node).select("b")
+    sizes = nb.groupBy("a").agg(F.count("*").alias("n"))
+    shared = nb.join(own, "b", "left_semi").filter(F.col("a") != node).groupBy("a").agg(F.count("*").alias("shared"))
+    full = shared.join(sizes, "a").crossJoin(own.agg(F.count("*").alias("m")))  # one row
+    scored = full.select(F.col("a").alias("id"), "shared", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), rounding).alias("jaccard"))
+    direct = own.select(F.col("b").alias("id"), F.lit(True).alias("linked"))
+    return scored.join(direct, "id", "left").withColumn("linked", F.coalesce("linked", F.lit(False))).orderBy(F.desc("jaccard"), F.desc("id")).limit(top)
+
+
 def similar(edges: DataFrame, rounding: int = 6) -> DataFrame:
     """(a, b, shared, jaccard) of nodes with a common neighbour, a < b, by partial counts on the neighbour."""
     nb = both_ways(edges)
@@ -144,14 +203,36 @@ def resolve(nodes: DataFrame, terms: DataFrame) -> DataFrame:
     return found.select("term", status.alias("status"), F.when(F.col("is_id"), F.array("term")).otherwise(F.col("ids")).alias("ids"))
 
 
-def find(nodes: DataFrame, edges: DataFrame, text: str, kind: str | None = None, limit: int = 15) -> DataFrame:
-    """(id, label, degree): normalised substring in label or id, most connected first, ids descending."""
-    from graphloom.functions.scalars import norm as n
+def suggest(nodes: DataFrame, term: str, most: int = 5) -> DataFrame:
+    """(id) for a term that nothing bears: ids of surface forms that hold it, else ids that are close to it."""
+    inside = gazetteer(nodes).filter(F.contains("key", norm(F.lit(term)))).select(F.explode("ids").alias("id")).distinct().orderBy("id").limit(most)
+    if not inside.isEmpty():
+        return inside
 
-    q = n(F.lit(text))
-    hit = nodes.filter(F.contains(n("label"), q) | F.contains(n("id"), q))
-    hit = hit.filter(F.col("type") == kind) if kind else hit
-    return hit.join(degree(nodes, edges), "id").select("id", "label", "degree").orderBy(F.desc("degree"), F.desc("id")).limit(limit)
+    @F.pandas_udf("double")
+    def closeness(ids: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, i, term).ratio() for i in ids], dtype="float64")
+
+    near = nodes.select("id", closeness("id").alias("ratio")).filter("ratio >= 0.5")
+    return near.orderBy(F.desc("ratio"), F.desc("id")).limit(most).select("id")
+
+
+def find(nodes: DataFrame, edges: DataFrame, text: str, kind: str | None = None, limit: int = 15, deep: bool = False) -> DataFrame:
+    """(id, label, degree): normalised substring in label, id or an alias, and with ``deep`` in description and
+    properties; most connected first, ids descending. A text without letters or digits finds every node."""
+    q = norm(F.lit(text))
+    held = [norm("label"), norm("id")]
+    if deep and "description" in nodes.columns:
+        held.append(norm("description"))
+    if deep:
+        held.append(norm(F.to_json("props")))
+    hit = F.lit(False)
+    for c in held:
+        hit = hit | F.coalesce(F.contains(c, q), F.lit(False))
+    if "aliases" in nodes.columns:
+        hit = hit | F.coalesce(F.exists("aliases", lambda x: F.contains(norm(x), q)), F.lit(False))
+    found = nodes.filter(hit & (F.col("type") == kind) if kind else hit)
+    return found.join(degree(nodes, edges), "id").select("id", "label", "degree").orderBy(F.desc("degree"), F.desc("id")).limit(limit)
 
 
 #: Tasks that one block of names is dealt over.
@@ -225,7 +306,17 @@ def second_ring(nodes: DataFrame, edges: DataFrame, node: str, top: int = 10) ->
     return ring.join(degree(nodes, edges), "id").orderBy(F.desc("degree"), "id").limit(top)
 
 
-def top_members(groups: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
-    """(component, id, place): the k best connected members of each group."""
-    w = Window.partitionBy("component").orderBy(F.desc("degree"), "id")
-    return groups.join(ranks, "id").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("component", "id", "place")
+def component_sizes(groups: DataFrame, by: str = "component", first: int = 6) -> DataFrame:
+    """(by, size, members): largest first, then the smallest member; ``members`` names the first few."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy("id"))
+    named = groups.withColumn("place", place).filter(F.col("place") <= first).groupBy(by).agg(F.sort_array(F.collect_list("id")).alias("members"))
+    sized = groups.groupBy(by).agg(F.count("*").alias("size"))
+    return sized.join(named, by).select(by, "size", "members").orderBy(F.desc("size"), F.col("members")[0])
+
+
+def orphans(groups: DataFrame, first: int = 6) -> DataFrame:
+    """component_sizes with ``kind``: one main component, the largest (of equals that of the smallest member), orphans of one node, islands."""
+    sized = component_sizes(groups, "component", first)
+    top = sized.limit(1).select(F.col("component").alias("main"))
+    kind = F.when(F.col("component") == F.col("main"), "main").when(F.col("size") == 1, "orphan").otherwise("island")
+    return sized.crossJoin(top).select("component", "size", "members", kind.alias("kind"))  # one row

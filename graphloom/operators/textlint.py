@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import clean_inline, excerpt, first_word, sentences, strip, word_count
+from graphloom.functions.scalars import clean_inline, excerpt, first_word, sentences, word_count
 
 # Word lists and patterns of the rules.
 PROCEDURAL = "configuration|deployment|getting started|installation|instructions|operation|operations|procedure|procedures|quick start|runbook|setup|steps|troubleshooting|usage"
@@ -162,7 +162,5 @@ def read_texts(spark, paths: list[str]) -> DataFrame:
     if not once:
         return spark.createDataFrame([], "path string, text string")
     raw = spark.read.format("binaryFile").load(once)
-    return raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("text"))
 
-
-__all__ = ["blocks", "findings", "markdown_blocks", "read_texts", "sentence_rows", "strip", "verdict"]

@@ -116,6 +116,30 @@ class Graph:
             acc = acc.join(b, shared) if shared else acc.crossJoin(b)
         return acc.distinct()
 
+    def resolved(self, patterns: list[str]) -> list[str]:
+        """Patterns whose constants are ids: one that is none stands for the one node that bears it as a label or alias.
+        Objects of ``type`` and ``prop.`` relations stay as they are, and so does what nothing or more than one node bears."""
+        from graphloom.operators.graph import resolve
+
+        triples = [parse(p) for p in patterns]
+        free = [("s", t.s) for t in triples] + [("o", t.o) for t in triples if t.p != "type" and not t.p.startswith("prop.")]
+        terms = sorted({x for _, x in free if not is_var(x) and x not in ("*", "_")})
+        if not terms:
+            return patterns
+        rows = resolve(self.nodes, self.nodes.sparkSession.createDataFrame([(x,) for x in terms], "term string")).collect()  # as many as constants
+        known = {r["term"]: r["ids"][0] for r in rows if r["status"] in ("exact", "unique")}
+        fixed = lambda t: t.p == "type" or t.p.startswith("prop.")
+        return [" ".join((known.get(t.s, t.s), t.p, t.o if fixed(t) else known.get(t.o, t.o))) for t in triples]
+
+    def labelled(self, answers: DataFrame) -> DataFrame:
+        """Answers as they are shown: ``id (label)``, the bare term where there is no other label, ``?`` where unbound."""
+        out = answers
+        for i, c in enumerate(answers.columns):
+            names = self.nodes.select(F.col("id").alias(f"__id{i}"), F.col("label").alias(f"__label{i}"))
+            shown = F.when((F.col(f"__label{i}") != "") & (F.col(f"__label{i}") != F.col(c)), F.concat(F.col(c), F.lit(" ("), F.col(f"__label{i}"), F.lit(")"))).otherwise(F.coalesce(F.col(c), F.lit("?")))
+            out = out.join(names, F.col(c) == F.col(f"__id{i}"), "left").withColumn(c, shown).drop(f"__id{i}", f"__label{i}")
+        return out.distinct()
+
     def query(self, patterns: list[str], optional: tuple[str, ...] = (), negated: tuple[str, ...] = (), filters: tuple[str, ...] = (), count_by: str | None = None) -> DataFrame:
         acc = self.join_all([parse(p) for p in patterns])
         certain = set(acc.columns)

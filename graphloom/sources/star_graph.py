@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import assertion_id
@@ -40,6 +40,7 @@ def nodes(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("Region",
 
 
 def edges(spark: SparkSession, sf_dir: str, rels: tuple[str, ...] = ("part_of",)) -> DataFrame:
+    """``trades_with`` joins each supplier to the next of its nation, so it grows with the suppliers only."""
     t = lambda n: table(spark, sf_dir, n)
 
     def side(kind: str, col: str):
@@ -61,10 +62,9 @@ def edges(spark: SparkSession, sf_dir: str, rels: tuple[str, ...] = ("part_of",)
         pairs = t("lineitem").select("l_partkey", "l_suppkey").distinct()
         parts.append(edge(pairs, side("part", "l_partkey"), "supplied_by", side("supplier", "l_suppkey"), F.concat_ws("", F.lit("lineitem#part-"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))))
     if "trades_with" in rels:
-        few = t("lineitem").filter("l_partkey < 3").select("l_partkey", "l_suppkey").distinct()
-        other = few.select("l_partkey", F.col("l_suppkey").alias("s2"))
-        pairs = few.join(other, "l_partkey").filter("l_suppkey < s2").select("l_suppkey", "s2").distinct()
-        parts.append(edge(pairs, side("supplier", "l_suppkey"), "trades_with", side("supplier", "s2"), F.lit("lineitem#trades")))
+        after = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+        pairs = t("supplier").select("s_suppkey", after.alias("s2")).filter("s2 IS NOT NULL")
+        parts.append(edge(pairs, side("supplier", "s_suppkey"), "trades_with", side("supplier", "s2"), F.lit("supplier#trades")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -80,7 +80,7 @@ UNION ALL SELECT 'customer:' || c_custkey, 'Customer', c_name, 'customer#' || c_
 PART_OF_SQL = """SELECT 'nation:' || n_nationkey AS f, 'part_of' AS rel, 'region:' || n_regionkey AS t, 'nation#' || n_nationkey AS source FROM nation
 UNION ALL SELECT 'supplier:' || s_suppkey, 'part_of', 'nation:' || s_nationkey, 'supplier#' || s_suppkey FROM supplier
 UNION ALL SELECT 'customer:' || c_custkey, 'part_of', 'nation:' || c_nationkey, 'customer#' || c_custkey FROM customer"""
-TRADES_SQL = "SELECT DISTINCT 'supplier:' || a.l_suppkey AS f, 'trades_with' AS rel, 'supplier:' || b.l_suppkey AS t, 'lineitem#trades' AS source FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey WHERE a.l_partkey < 3 AND a.l_suppkey < b.l_suppkey"
+TRADES_SQL = "SELECT 'supplier:' || s_suppkey AS f, 'trades_with' AS rel, 'supplier:' || s2 AS t, 'supplier#trades' AS source FROM (SELECT s_suppkey, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS s2 FROM supplier) WHERE s2 IS NOT NULL"
 PLACED_SQL = "SELECT 'order:' || o_orderkey AS f, 'placed_by' AS rel, 'customer:' || o_custkey AS t, 'orders#' || o_orderkey AS source FROM orders"
 INCLUDES_SQL = "SELECT 'order:' || l_orderkey AS f, 'includes' AS rel, 'part:' || l_partkey AS t, 'lineitem#' || l_orderkey || '-' || l_linenumber AS source FROM lineitem"
 SUPPLIED_SQL = "SELECT DISTINCT 'part:' || l_partkey AS f, 'supplied_by' AS rel, 'supplier:' || l_suppkey AS t, 'lineitem#part-' || l_partkey || '-' || l_suppkey AS source FROM lineitem"
