@@ -62,7 +62,7 @@ def kg_load_errors(spark, d):
 
 
 NAMES = "('docs/a.md'), ('.env'), ('conf/.env.local'), ('keys/id_rsa'), ('x/server.pem'), ('logs/run.txt'), ('data/app.sqlite'), ('secrets.yaml'), ('my.credentials'), ('a/environment.md')"
-SECRET = " OR ".join(f"regexp_matches(text, '{p}')".replace("[\"']", "[\"'']") for p in W.SECRETS)
+SECRET = " OR ".join("regexp_matches(text, '{}')".format(p.replace("'", "''")) for p in W.SECRETS)
 
 
 @query(
@@ -148,7 +148,7 @@ def kg_merge_conflicts(spark, d):
     return M.merge_nodes(*_twins(spark, d), "customer:old", "customer:new")[2]
 
 
-@query(f"{WITH} SELECT id, label, src AS sources, '' AS aliases, CASE WHEN type = 'Customer' THEN 'mktsegment=' || c_mktsegment ELSE '' END AS props FROM nodes LEFT JOIN customer ON id = 'customer:' || c_custkey UNION ALL SELECT 'customer:new', 'Twin One', 't#1,t#2,u#1', 'Twin,Twin 1,Second', 'merged_from=customer:old,more=2,mktsegment=X,own=1'")
+@query(f"{WITH} SELECT id, label, src AS sources, '' AS aliases, CASE WHEN type = 'Customer' THEN 'mktsegment=' || c_mktsegment ELSE '' END AS props FROM nodes LEFT JOIN customer ON id = 'customer:' || c_custkey UNION ALL SELECT 'customer:new', 'Twin One', 't#1,t#2,u#1', 'Twin,Twin 1,Second', 'merged_from=customer:old,mktsegment=X,more=2,own=1'")
 def kg_merge_nodes(spark, d):
     n = M.merge_nodes(*_twins(spark, d), "customer:old", "customer:new", "canon")[0]
     props = F.array_join(F.array_sort(F.transform(F.map_entries("props"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ",")
