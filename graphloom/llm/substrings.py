@@ -33,7 +33,7 @@ from graphloom.llm.text import bounded_batches, fresh, give_back, words_of
 
 LENGTH, TRIPLE = 13, 3
 #: Bytes of text that feed one group of suffixes, suffixes in one tree, bytes of text in one batch of the map side.
-GROUP_BYTES, TREE, BATCH_TEXT = 13 << 19, 1 << 16, 10 << 20
+GROUP_BYTES, TREE, BATCH_TEXT = 15 << 20, 1 << 16, 10 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
