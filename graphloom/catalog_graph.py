@@ -297,7 +297,7 @@ def rule(name: str, sql: str):
     O[run.__name__] = VALID_SQL + sql
 
 
-rule("ids", "SELECT id AS subject, 'node id' AS detail FROM nodes WHERE NOT regexp_full_match(id, '[a-z0-9_-]+:[^\s]+')")
+rule("ids", "SELECT id AS subject, 'node id' AS detail FROM nodes WHERE NOT regexp_full_match(id, '[a-z0-9_-]+:[^\\s]+')")
 rule("types", "SELECT id AS subject, CASE WHEN label IS NULL THEN 'no label' WHEN type IS NULL THEN 'no type' ELSE 'undeclared type' END AS detail FROM nodes WHERE label IS NULL OR type IS NULL OR type NOT IN ('Region', 'Nation', 'Supplier', 'Customer', 'Party')")
 rule("provenance", "SELECT id AS subject, 'no source' AS detail FROM nodes WHERE src IS NULL")
 rule("dangling", "SELECT f || ' ' || rel || ' ' || t AS subject, 'from' AS detail FROM edges WHERE f NOT IN (SELECT id FROM nodes) UNION ALL SELECT f || ' ' || rel || ' ' || t, 'to' FROM edges WHERE t NOT IN (SELECT id FROM nodes)")

@@ -1,0 +1,72 @@
+"""Text rules, telemetry and graph files on small rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.operators import graph as G
+from graphloom.operators import telemetry as T
+from graphloom.operators import textlint as X
+from graphloom.sources import files as W
+
+
+def rules(spark, text, mode="auto"):
+    return {r["rule"] for r in X.findings(spark.createDataFrame([("a.md", text)], "path string, text string"), mode).collect()}
+
+
+def test_text_rules(spark):
+    assert rules(spark, "The pump is small. It moves water.", "descriptive") == set()
+    long = "Don't open the valve; turn the long red handle that stands on the left side of the old pump and wait until the gauge on top shows zero again."
+    assert {"STE-4.2", "STE-5.1", "STE-8.1"} <= rules(spark, "# Procedure\n\n" + long)
+    assert "STE-6.6" in rules(spark, "One. Two. Three. Four. Five. Six. Seven.", "descriptive")
+    assert not {"STE-8.1", "STE-4.2"} & rules(spark, "See `a;b` and [text](http://x/;don't).\n\n```\ncan't;\n```\n")
+    assert "STE-3.6" in rules(spark, "The part was removed by hand.")
+    assert X.verdict(X.findings(spark.createDataFrame([("a", None), ("b", "")], "path string, text string"))).first().asDict() == {"errors": 0, "warnings": 0, "exit_code": 0}
+
+
+def test_telemetry_rows(spark):
+    rows = ['{"ts": "2026-07-28T00:00:00Z", "event": "fill", "asset": "BTC", "pnl": 2.5, "token": "hush", "wallet_address": "0xabc"}', '{"ts": "2026-07-28T01:00:00Z", "event": "fill", "asset": "BTC", "pnl": -1.0}', "", "[1]", "{bad", '{"a": 1, "a": {"b": true, "c": [1]}, "d": NaN, "e": 2000000000000}']
+    read = T.parse_rows(spark.createDataFrame(list(enumerate(rows)), "ord long, line string"))
+    told = T.accounting(read).first()
+    assert (told["rows_parsed"], told["rows_malformed"], told["first"], told["last"]) == (3, 2, "2026-07-28T00:00:00Z", "2026-07-28T01:00:00Z")
+    groups = {(r["label"], r["metric"]): (r["rows"], r["n"]) for r in T.group_metrics(T.kept(read), "asset", ["pnl"]).collect()}
+    assert groups == {("BTC", "pnl"): (2, 2), ("unknown", "pnl"): (1, 0)}
+    fields = {r["field"] for r in T.field_counts(T.kept(read)).collect()}
+    assert fields == {"ts", "event", "asset", "pnl", "a.b", "d", "e"}
+    assert {r["field"] for r in T.numeric_fields(T.kept(read)).collect()} == {"pnl"}
+    with pytest.raises(ValueError):
+        T.tail(read, 0)
+
+
+def test_summary_of_few_values(spark):
+    got = T.summary(spark.createDataFrame([(float(x),) for x in range(1, 8)], "v double"), "v").first()
+    assert (got["n"], got["p05"], got["median"], got["p95"], got["sd"]) == (7, 1.3, 4.0, 6.7, 2.0)
+
+
+def test_strict_lines_and_frontmatter(spark):
+    lines = spark.createDataFrame([(0, '{"id": "a:b"}'), (1, ""), (2, "[1]")], "ord long, line string")
+    with pytest.raises(ValueError, match="line 3"):
+        W.load_strict(lines, W.NODE)
+    assert W.frontmatter("---\nname: 'x'\ndescription: one\n  two\n---\nrest") == {"name": "x", "description": "one two"}
+    with pytest.raises(ValueError):
+        W.frontmatter("name: x")
+
+
+def test_store_commits(spark, tmp_path):
+    store = W.Store(spark, str(tmp_path / "g"))
+    store.init()
+    row = spark.createDataFrame([("a:1", "T", "A", None, None, {}, ["s#1"])], W.NODE.removesuffix(", source string"))
+    assert store.append("nodes", row) == 2 and store.read("nodes").count() == 1 and store.read("nodes", 1).count() == 0
+    with pytest.raises(RuntimeError):
+        store.commit({"nodes": row}, 1)
+    assert store.version == 2 and store.commit({}, 2, dry_run=True) == 2
+
+
+def test_shortest_paths(spark):
+    nodes = spark.createDataFrame([(i, "T", i) for i in "abcdx"], "id string, type string, label string")
+    edges = spark.createDataFrame([("a", "r", "b"), ("b", "r", "c"), ("d", "s", "c"), ("a", "r", "gone"), ("gone", "r", "d")], "`from` string, rel string, `to` string")
+    assert [r["id"] for r in G.shortest_path(nodes, edges, "a", "d").collect()] == ["a", "b", "c", "d"]
+    assert [r["id"] for r in G.shortest_path(nodes, edges, "a", "a").collect()] == ["a"]
+    for bad in ({"directed": True}, {"rels": ["r"]}):
+        with pytest.raises(ValueError, match="no path"):
+            G.shortest_path(nodes, edges, "a", "d", **bad)
+    assert G.pagerank(nodes.filter(F.lit(False)), edges).count() == 0
