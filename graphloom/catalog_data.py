@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import source_anchor, source_path
+from graphloom.operators import release as R
 from graphloom.session import table
 from graphloom.streaming import events as E
 
@@ -86,23 +87,27 @@ def rel_preflight(spark, d):
     return f.select("repo", "code", F.when(block > 0, "blocked").otherwise("ready").alias("status"))
 
 
-SKILLS, DIRS = "('a', '1.0.0'), ('b', '1.x'), ('Bad_Name', '2.0.0'), ('c', '1.0.0')", "('a', '1.0.0'), ('b', '1.x'), ('Bad_Name', '2.1.0'), ('d', '1.0.0')"
+# Parts are the registry. Faults are put in by size: names in capitals, versions of several grammars, entries listed twice,
+# versions that differ, entries that are not there and rows that nobody registered.
+REG_NAME = "replace(p_name, ' ', '-') || '-' || p_partkey"
+REG_VERSION = "CASE p_size WHEN 1 THEN '1.0' WHEN 2 THEN '1.0.0-rc.1' WHEN 3 THEN '1.0.0+b7' WHEN 4 THEN 'v1.0.0' WHEN 5 THEN '1.0.0-' WHEN 6 THEN NULL ELSE '1.2.' || p_size END"
+ENTRIES = f"SELECT CASE WHEN p_size = 8 THEN upper({REG_NAME}) ELSE {REG_NAME} END AS name, {REG_VERSION} AS version FROM part WHERE p_size <> 12 UNION ALL SELECT {REG_NAME}, {REG_VERSION} FROM part WHERE p_size = 9"
+THERE = f"SELECT {REG_NAME} AS name, CASE WHEN p_size = 10 THEN '9.9.9' ELSE {REG_VERSION} END AS version FROM part WHERE p_size <> 11"
 
 
-@query(f"WITH s AS (SELECT * FROM (VALUES {SKILLS}) t(name, version)), d AS (SELECT * FROM (VALUES {DIRS}) t(name, version)) SELECT name, 'bad name' AS finding FROM s WHERE NOT regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*') UNION ALL SELECT name, 'bad version' FROM s WHERE NOT regexp_full_match(version, '[0-9]+\\.[0-9]+\\.[0-9]+') UNION ALL SELECT s.name, 'version differs' FROM s JOIN d ON s.name = d.name WHERE s.version <> d.version UNION ALL SELECT name, 'no directory' FROM s WHERE name NOT IN (SELECT name FROM d) UNION ALL SELECT name, 'not registered' FROM d WHERE name NOT IN (SELECT name FROM s)")
+@query(
+    f"WITH e AS ({ENTRIES}), t AS ({THERE}) SELECT DISTINCT name, 'bad name' AS finding FROM e WHERE NOT regexp_full_match(name, '[a-z0-9]+(?:-[a-z0-9]+)*') "
+    "UNION ALL SELECT DISTINCT name, 'bad version' FROM e WHERE version IS NULL OR NOT regexp_full_match(version, '\\d+\\.\\d+\\.\\d+(?:-[0-9A-Za-z.-]+)?(?:\\+[0-9A-Za-z.-]+)?') "
+    "UNION ALL SELECT name, 'registered more than once' FROM e GROUP BY name HAVING count(*) > 1 UNION ALL SELECT DISTINCT e.name, 'versions differ' FROM e JOIN t ON e.name = t.name WHERE e.version IS DISTINCT FROM t.version "
+    "UNION ALL SELECT DISTINCT name, 'missing' FROM e WHERE name NOT IN (SELECT name FROM t) UNION ALL SELECT DISTINCT name, 'not registered' FROM t WHERE name NOT IN (SELECT name FROM e)"
+)
 def reg_validate(spark, d):
-    s, o = spark.sql(f"SELECT * FROM VALUES {SKILLS} AS t(name, version)"), spark.sql(f"SELECT * FROM VALUES {DIRS} AS t(name, version)")
-    both = s.join(o.withColumnRenamed("version", "dv").withColumn("dir", F.lit(True)), "name", "full")
-    checks = F.array_compact(
-        F.array(
-            F.when(F.col("version").isNotNull() & ~F.col("name").rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), "bad name"),
-            F.when(~F.col("version").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"), "bad version"),
-            F.when(F.col("version") != F.col("dv"), "version differs"),
-            F.when(F.col("dir").isNull(), "no directory"),
-            F.when(F.col("version").isNull(), "not registered"),
-        )
-    )
-    return both.select("name", F.explode(checks).alias("finding"))
+    parts = table(spark, d, "part")
+    name, version = F.expr(REG_NAME), F.expr(REG_VERSION)
+    e = parts.filter("p_size <> 12").select(F.when(F.col("p_size") == 8, F.upper(name)).otherwise(name).alias("name"), version.alias("version"))
+    e = e.unionByName(parts.filter("p_size = 9").select(name.alias("name"), version.alias("version")))
+    there = parts.filter("p_size <> 11").select(name.alias("name"), F.when(F.col("p_size") == 10, "9.9.9").otherwise(version).alias("version"))
+    return R.registry_findings(e, there)
 
 
 WANTED, FOUND = "('a', 'h1'), ('b', 'h2'), ('c', 'h3')", "('a', 'h1', true), ('b', 'hx', false)"
@@ -116,13 +121,23 @@ def reg_install_plan(spark, d):
     return w.join(f, "name", "left").select("name", state.alias("state"))
 
 
-GATES = "('r1', 'tests', 'PASS'), ('r1', 'docs', 'PASS'), ('r2', 'tests', 'FAIL'), ('r2', 'docs', 'PASS'), ('r3', 'tests', 'UNKNOWN')"
+# Orders are release candidates, their lines gates and, where many are ordered, destinations; urgent orders in part are retired.
+GATE = "CASE WHEN l_returnflag = 'R' AND l_quantity < 10 THEN 'FAIL' WHEN l_tax > 0.07 THEN 'UNKNOWN' WHEN l_discount > 0.08 THEN NULL ELSE 'PASS' END"
+PLACE = "CASE WHEN l_linestatus = 'F' THEN 'VERIFIED' WHEN l_discount < 0.03 THEN 'PUBLISHED' WHEN l_discount < 0.06 THEN 'UNKNOWN' ELSE 'FAILED' END"
 
 
-@query(f"SELECT candidate, CASE WHEN bool_and(state = 'PASS') THEN 'READY' ELSE 'BLOCKED' END AS status FROM (VALUES {GATES}) t(candidate, gate, state) GROUP BY candidate")
+@query(
+    f"WITH g AS (SELECT l_orderkey AS c, {GATE} AS state FROM lineitem), p AS (SELECT l_orderkey AS c, {PLACE} AS state FROM lineitem WHERE l_quantity > 40), r AS (SELECT o_orderkey AS c FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'), "
+    "n AS (SELECT o_orderkey AS c, (SELECT count(*) FROM r WHERE r.c = o_orderkey) AS gone, (SELECT count(*) FROM p WHERE p.c = o_orderkey) AS places, (SELECT count(*) FROM p WHERE p.c = o_orderkey AND state = 'VERIFIED') AS verified, (SELECT count(*) FROM p WHERE p.c = o_orderkey AND state IN ('VERIFIED', 'PUBLISHED')) AS published, "
+    "(SELECT count(*) FROM g WHERE g.c = o_orderkey) AS gates, (SELECT count(*) FROM g WHERE g.c = o_orderkey AND state IS NULL) AS skipped, (SELECT count(*) FROM g WHERE g.c = o_orderkey AND state = 'PASS') AS passed FROM orders) "
+    "SELECT c AS candidate, CASE WHEN gone > 0 THEN 'ARCHIVED_VERIFIED' WHEN places > 0 AND places = verified THEN 'PUBLISHED_VERIFIED' WHEN published > 0 THEN 'PUBLISHED_PARTIAL' WHEN gates = skipped THEN 'PLANNED' WHEN gates = passed THEN 'READY' ELSE 'BLOCKED' END AS status FROM n"
+)
 def rel_gate_rollup(spark, d):
-    gts = spark.sql(f"SELECT * FROM VALUES {GATES} AS t(candidate, gate, state)")
-    return gts.groupBy("candidate").agg(F.when(F.bool_and(F.col("state") == "PASS"), "READY").otherwise("BLOCKED").alias("status"))
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    gates = lines.select(F.col("l_orderkey").alias("candidate"), F.expr(GATE).alias("state"))
+    places = lines.filter("l_quantity > 40").select(F.col("l_orderkey").alias("candidate"), F.expr(PLACE).alias("state"))
+    retired = orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("candidate"), (F.col("o_orderstatus") == "P").alias("visible"), F.lit(True).alias("replaced"))
+    return R.release_states(orders.select(F.col("o_orderkey").alias("candidate")), gates, places, retired)
 
 
 # ---- transaction costs: lines as fills, orders as parents, the part's mean price as benchmark --------------------

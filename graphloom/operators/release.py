@@ -1,0 +1,57 @@
+"""Release states and registry checks over tables of gates, destinations and entries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# The grammars of entry names and of versions, and the states of a release.
+NAME = "^[a-z0-9]+(-[a-z0-9]+)*$"
+VERSION = r"^[0-9]+\.[0-9]+\.[0-9]+(-[0-9A-Za-z.-]+)?(\+[0-9A-Za-z.-]+)?$"
+PLANNED, READY, BLOCKED, PUBLISHED_VERIFIED, PUBLISHED_PARTIAL, ARCHIVED_VERIFIED = "PLANNED", "READY", "BLOCKED", "PUBLISHED_VERIFIED", "PUBLISHED_PARTIAL", "ARCHIVED_VERIFIED"
+
+
+def release_states(candidates: DataFrame, gates: DataFrame, destinations: DataFrame, retirements: DataFrame) -> DataFrame:
+    """candidate and status of each row of ``candidates`` (candidate).
+
+    ``gates``: candidate, state (PASS, FAIL, UNKNOWN; null: not run). ``destinations``: candidate, state (VERIFIED from
+    the consumer's side, PUBLISHED and not yet verified, FAILED, UNKNOWN; null: unknown). ``retirements``: candidate,
+    visible, replaced. What happened last decides: a retirement of which all is visible and replaced, then publication,
+    which is verified only if every destination is, then the gates. Gates none of which ran, or none at all, are a
+    plan; one that failed, is unknown or was skipped blocks. Each side is aggregated before it is joined.
+    """
+    passed = F.coalesce(F.col("state") == "PASS", F.lit(False))
+    verified = F.coalesce(F.col("state") == "VERIFIED", F.lit(False))
+    out = F.coalesce(F.col("state").isin("VERIFIED", "PUBLISHED"), F.lit(False))
+    gone = F.coalesce(F.col("visible") & F.col("replaced"), F.lit(False))
+    g = gates.groupBy("candidate").agg(F.count("state").alias("ran"), F.bool_and(passed).alias("passed"))
+    d = destinations.groupBy("candidate").agg(F.bool_or(out).alias("out"), F.bool_and(verified).alias("verified"))
+    r = retirements.groupBy("candidate").agg(F.bool_and(gone).alias("gone"))
+    status = F.when(F.col("gone"), ARCHIVED_VERIFIED).when(F.col("verified"), PUBLISHED_VERIFIED).when(F.col("out"), PUBLISHED_PARTIAL)
+    status = status.when(F.coalesce("ran", F.lit(0)) == 0, PLANNED).when(F.col("passed"), READY).otherwise(BLOCKED)
+    return candidates.select("candidate").distinct().join(g, "candidate", "left").join(d, "candidate", "left").join(r, "candidate", "left").select("candidate", status.alias("status"))
+
+
+def registry_findings(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """name and finding. ``entries``: name, version as registered; ``found``: name, version of what is there.
+
+    A name or version that is null or breaks its grammar, a name registered more than once, entries or found rows of
+    one name with several versions between them, and names of one side only. Each name's rows are counted before the join.
+    """
+    versions = F.sort_array(F.collect_set("version"))
+    bad = F.coalesce(~F.col("version").rlike(VERSION), F.lit(True))
+    e = entries.groupBy("name").agg(F.count("*").alias("times"), F.bool_or(bad).alias("bad"), versions.alias("wanted"))
+    f = found.groupBy("name").agg(F.count("*").alias("there"), versions.alias("has"))
+    both = e.join(f, e["name"].eqNullSafe(f["name"]), "full").select(F.coalesce(e["name"], f["name"]).alias("name"), "times", "bad", "wanted", "there", "has")
+    registered, there = F.col("times").isNotNull(), F.col("there").isNotNull()
+    checks = F.array_compact(
+        F.array(
+            F.when(registered & F.coalesce(~F.col("name").rlike(NAME), F.lit(True)), "bad name"),
+            F.when(registered & F.col("bad"), "bad version"),
+            F.when(F.col("times") > 1, "registered more than once"),
+            F.when(registered & there & ((F.col("wanted") != F.col("has")) | (F.size("wanted") > 1)), "versions differ"),
+            F.when(registered & ~there, "missing"),
+            F.when(~registered & there, "not registered"),
+        )
+    )
+    return both.select("name", F.explode(checks).alias("finding"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
+from graphloom.operators import release as R
 from graphloom.operators import telemetry as T
 from graphloom.operators import textlint as X
 from graphloom.sources import files as W
@@ -70,3 +71,24 @@ def test_shortest_paths(spark):
         with pytest.raises(ValueError, match="no path"):
             G.shortest_path(nodes, edges, "a", "d", **bad)
     assert G.pagerank(nodes.filter(F.lit(False)), edges).count() == 0
+
+
+def test_release_states(spark):
+    def rows(data, schema):
+        return spark.createDataFrame(data, schema)
+
+    names = rows([(c,) for c in "abcdefghij"], "candidate string")
+    gates = rows([("a", "PASS"), ("a", "PASS"), ("b", "PASS"), ("b", "UNKNOWN"), ("c", "PASS"), ("c", None), ("d", None), ("f", "PASS"), ("g", "PASS"), ("h", "PASS"), ("i", "FAIL"), ("j", "PASS")], "candidate string, state string")
+    places = rows([("f", "VERIFIED"), ("g", "VERIFIED"), ("g", None), ("h", "PUBLISHED"), ("j", "FAILED")], "candidate string, state string")
+    retired = rows([("f", True, None), ("i", True, True)], "candidate string, visible boolean, replaced boolean")
+    told = {r["candidate"]: r["status"] for r in R.release_states(names, gates, places, retired).collect()}
+    assert told == {"a": "READY", "b": "BLOCKED", "c": "BLOCKED", "d": "PLANNED", "e": "PLANNED", "f": "PUBLISHED_VERIFIED", "g": "PUBLISHED_PARTIAL", "h": "PUBLISHED_PARTIAL", "i": "ARCHIVED_VERIFIED", "j": "READY"}
+    assert R.release_states(names.limit(0), gates, places, retired).count() == 0
+
+
+def test_registry_findings(spark):
+    schema = "name string, version string"
+    entries = spark.createDataFrame([("a-1", "1.0.0-rc.1"), ("b", "1.0.0+x"), ("C", "1.0.0"), ("d", "1.0"), ("e", None), ("f", "1.0.0"), ("f", "1.0.0"), (None, "1.0.0")], schema)
+    found = spark.createDataFrame([("a-1", "1.0.0-rc.1"), ("b", "1.0.0"), ("C", "1.0.0"), ("d", "1.0"), ("e", None), ("f", "1.0.0"), ("g", "1.0.0")], schema)
+    told = {(r["name"], r["finding"]) for r in R.registry_findings(entries, found).collect()}
+    assert told == {("b", "versions differ"), ("C", "bad name"), ("d", "bad version"), ("e", "bad version"), ("f", "registered more than once"), (None, "bad name"), (None, "missing"), ("g", "not registered")}
