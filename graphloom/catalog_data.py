@@ -58,33 +58,48 @@ def src_reference(spark, d):
 
 # ---- release and registry --------------------------------------------------------------------------------------
 
-MANIFESTS = "('a', 'pyproject.toml', 'version = \"1.2.3\"'), ('a', 'package.json', '\"version\": \"1.2.3\"'), ('b', 'pyproject.toml', 'version = \"0.4.0\"'), ('b', 'package.json', '\"version\": \"0.5.0\"'), ('c', 'readme', 'none')"
-VERSION = 'version"?[ ]*[=:][ ]*"([^"]+)"'
+# Suppliers are release roots; their nation decides which manifests they have and what is wrong with them.
+def toml(section: str, version: str) -> str:
+    before, after = "'[other]' || chr(10) || 'version = \"0.0.1\"' || chr(10)", "'version = \"8.8.8\"'"
+    return f"{before} || ' [{section}] ' || chr(10) || 'version = 5' || chr(10) || ' version=\"' || {version} || '\" # now' || chr(10) || {after}"
+
+
+SHOWN = "'1.' || s_nationkey || '.0'"
+MIXED = f"CASE WHEN s_nationkey = 3 THEN '3.0.0' ELSE {SHOWN} END"
+BROKEN = "CASE s_nationkey WHEN 13 THEN '{\"version\": 1.5}' WHEN 14 THEN '{\"version\": \"\"}' WHEN 15 THEN '[\"version\"]' WHEN 16 THEN '{\"version\": ' ELSE NULL END"
+FILES = (
+    f"SELECT s_suppkey AS root, 'pyproject.toml' AS path, {toml('project', SHOWN)} AS text FROM supplier WHERE s_nationkey < 12 UNION ALL SELECT s_suppkey, 'pyproject.toml', {toml('tool.other', SHOWN)} FROM supplier WHERE s_nationkey = 12 "
+    f"UNION ALL SELECT s_suppkey, 'Cargo.toml', {toml('package', SHOWN)} FROM supplier WHERE s_nationkey BETWEEN 5 AND 8 UNION ALL SELECT s_suppkey, 'package.json', '{{\"a\": {{\"version\": \"7.7.7\"}}, \"version\": \"' || {MIXED} || '\"}}' FROM supplier WHERE s_nationkey < 6 "
+    f"UNION ALL SELECT s_suppkey, 'package.json', {BROKEN} FROM supplier WHERE s_nationkey BETWEEN 13 AND 17 UNION ALL SELECT s_suppkey, 'setup.cfg', 'version = \"6.6.6\"' FROM supplier"
+)
+ROOTS = "SELECT s_suppkey AS root, s_nationkey <> 18 AS git, CASE s_nationkey WHEN 19 THEN NULL WHEN 20 THEN '' ELSE 'main' END AS branch, CASE WHEN s_acctbal < 0 THEN 2 ELSE 0 END AS changes, CASE WHEN s_nationkey IN (1, 2, 3, 5, 18) THEN '1.2.0' END AS expected FROM supplier"
+TAGS = "SELECT s_suppkey AS root, CASE WHEN s_nationkey IN (1, 5) THEN 'v1.2.0' WHEN s_nationkey IN (2, 18) THEN '1.2.0' ELSE 'v0.9.0' END AS tag FROM supplier"
+SHOWN_SQL = (
+    f"SELECT s_suppkey AS root, 'pyproject.toml' AS path, 'python' AS kind, {SHOWN} AS version FROM supplier WHERE s_nationkey < 12 UNION ALL SELECT s_suppkey, 'Cargo.toml', 'rust', {SHOWN} FROM supplier WHERE s_nationkey BETWEEN 5 AND 8 "
+    f"UNION ALL SELECT s_suppkey, 'package.json', 'node', {MIXED} FROM supplier WHERE s_nationkey < 6"
+)
 
 
-@query(f"SELECT repo, path, regexp_extract(text, '{VERSION}', 1) AS version FROM (VALUES {MANIFESTS}) t(repo, path, text) WHERE regexp_extract(text, '{VERSION}', 1) <> ''")
-def rel_versions(spark, d):
-    m = spark.sql(f"SELECT * FROM VALUES {MANIFESTS} AS t(repo, path, text)")
-    return m.select("repo", "path", F.regexp_extract("text", VERSION, 1).alias("version")).filter("version <> ''")
+def suppliers(spark, d, sql):
+    """Rows of a statement over the supplier table."""
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, d, "supplier"))
 
 
-GIT = "('a', 'v1.2.3', 0), ('b', 'v0.1.0', 2), ('c', NULL, 0)"
+@query(SHOWN_SQL)
+def rel_versions(spark, d):
+    return R.manifest_versions(suppliers(spark, d, FILES))
 
 
 @query(
-    f"WITH m AS (SELECT repo, nullif(regexp_extract(text, '{VERSION}', 1), '') AS version FROM (VALUES {MANIFESTS}) t(repo, path, text)), g AS (SELECT * FROM (VALUES {GIT}) t(repo, tag, dirty)), "
-    "v AS (SELECT repo, count(DISTINCT version) AS n FROM m GROUP BY repo), f AS (SELECT repo, 'no_version_metadata' AS code FROM v WHERE n = 0 UNION ALL SELECT repo, 'inconsistent_versions' FROM v WHERE n > 1 UNION ALL SELECT repo, 'dirty_worktree' FROM g WHERE dirty > 0 UNION ALL SELECT DISTINCT g.repo, 'tag_collision' FROM g JOIN m ON g.repo = m.repo AND g.tag IN (m.version, 'v' || m.version)) "
-    "SELECT repo, code, CASE WHEN count(*) FILTER (WHERE code <> 'no_version_metadata') OVER (PARTITION BY repo) > 0 THEN 'blocked' ELSE 'ready' END AS status FROM f"
+    f"WITH r AS ({ROOTS}), v AS ({SHOWN_SQL}), t AS ({TAGS}), f AS (SELECT root, 'not_git_repository' AS code, 'blocker' AS severity FROM r WHERE NOT git UNION ALL SELECT root, 'dirty_worktree', 'blocker' FROM r WHERE git AND changes > 0 "
+    "UNION ALL SELECT root, 'detached_head', 'warning' FROM r WHERE git AND (branch IS NULL OR branch = '') UNION ALL SELECT DISTINCT r.root, 'tag_collision', 'blocker' FROM r JOIN t ON r.root = t.root AND t.tag IN (expected, 'v' || expected) WHERE git "
+    "UNION ALL SELECT root, 'no_version_metadata', 'warning' FROM r WHERE root NOT IN (SELECT root FROM v) UNION ALL SELECT root, 'inconsistent_versions', 'blocker' FROM v GROUP BY root HAVING count(DISTINCT version) > 1 "
+    "UNION ALL SELECT DISTINCT r.root, 'expected_version_mismatch', 'blocker' FROM r JOIN v ON r.root = v.root WHERE v.version <> expected) "
+    "SELECT r.root, code, severity, CASE WHEN r.root IN (SELECT root FROM f WHERE severity = 'blocker') THEN 'blocked' ELSE 'ready' END AS status FROM r LEFT JOIN f ON f.root = r.root"
 )
 def rel_preflight(spark, d):
-    m = spark.sql(f"SELECT * FROM VALUES {MANIFESTS} AS t(repo, path, text)").select("repo", F.nullif(F.regexp_extract("text", VERSION, 1), F.lit("")).alias("version"))
-    g = spark.sql(f"SELECT * FROM VALUES {GIT} AS t(repo, tag, dirty)")
-    v = m.groupBy("repo").agg(F.count_distinct("version").alias("n"))
-    code = lambda df, c: df.select("repo", F.lit(c).alias("code"))
-    hit = g.join(m, "repo").filter(F.col("tag").isin(F.col("version")) | (F.col("tag") == F.concat(F.lit("v"), F.col("version")))).select("repo").distinct()
-    f = code(v.filter("n = 0"), "no_version_metadata").unionByName(code(v.filter("n > 1"), "inconsistent_versions")).unionByName(code(g.filter("dirty > 0"), "dirty_worktree")).unionByName(code(hit, "tag_collision"))
-    block = F.sum(F.when(F.col("code") != "no_version_metadata", 1).otherwise(0)).over(Window.partitionBy("repo"))
-    return f.select("repo", "code", F.when(block > 0, "blocked").otherwise("ready").alias("status"))
+    found = R.manifest_versions(suppliers(spark, d, FILES))
+    return R.preflight(suppliers(spark, d, ROOTS), found, suppliers(spark, d, TAGS))
 
 
 # Parts are the registry. Faults are put in by size: names in capitals, versions of several grammars, entries listed twice,

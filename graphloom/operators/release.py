@@ -55,3 +55,66 @@ def registry_findings(entries: DataFrame, found: DataFrame) -> DataFrame:
         )
     )
     return both.select("name", F.explode(checks).alias("finding"))
+
+
+# Manifests by path, their kinds, and for TOML the sections that hold a version.
+KINDS = {"pyproject.toml": "python", "package.json": "node", "Cargo.toml": "rust", ".codex-plugin/plugin.json": "codex-plugin", ".claude-plugin/plugin.json": "claude-plugin"}
+SECTIONS = {"pyproject.toml": ["project", "tool.poetry"], "Cargo.toml": ["package"]}
+VERSION_LINE = r"""^\s*version\s*=\s*["']([^"']+)["']\s*(?:#.*)?$"""
+
+
+def manifest_versions(files: DataFrame) -> DataFrame:
+    """root, path, kind and version of each manifest that names one. ``files``: root, path, text.
+
+    TOML: the first version line within a section that may hold one; lines before any section count for none. JSON: the
+    version of an object, if it is a string and not empty. Null and unreadable texts name none. A file's lines are
+    folded in its row, so nothing is shuffled.
+    """
+    kind, sections = F.lit(None).cast("string"), F.array().cast("array<string>")
+    for path, name in KINDS.items():
+        kind = F.when(F.col("path") == path, name).otherwise(kind)
+    for path, names in SECTIONS.items():
+        sections = F.when(F.col("path") == path, F.array(*map(F.lit, names))).otherwise(sections)
+
+    def step(state, raw):
+        line = F.regexp_replace(raw, r"^\s+|\s+$", "")
+        head = line.rlike(r"^\[.*\]$")
+        section = F.when(head, F.regexp_replace(line, r"^\[\s*|\s*\]$", "")).otherwise(state["section"])
+        here = F.when(~head & F.array_contains(sections, state["section"]) & raw.rlike(VERSION_LINE), F.regexp_extract(raw, VERSION_LINE, 1))
+        return F.struct(section.alias("section"), F.coalesce(state["version"], here).alias("version"))
+
+    start = F.struct(F.lit("").alias("section"), F.lit(None).cast("string").alias("version"))
+    toml = F.aggregate(F.split("text", r"\r\n|[\n\r]"), start, step)["version"]
+    value = F.try_variant_get(F.try_parse_json("text"), "$.version", "variant")
+    json = F.when(F.schema_of_variant(value) == "STRING", F.nullif(F.try_variant_get(value, "$", "string"), F.lit("")))
+    version = F.when(F.endswith("path", F.lit(".toml")), toml).otherwise(json)
+    return files.filter(kind.isNotNull()).select("root", "path", kind.alias("kind"), version.alias("version")).filter("version IS NOT NULL")
+
+
+def preflight(roots: DataFrame, versions: DataFrame, tags: DataFrame) -> DataFrame:
+    """root, code, severity and status: a row a finding, and one without a code for a root that has none.
+
+    ``roots``: root, git, branch, changes (count), expected (version; null: none). ``versions``: as from
+    ``manifest_versions``. ``tags``: root, tag. Outside git nothing is asked of the work tree; a root is blocked by any
+    finding that is no warning. Versions and tags are reduced to a row a root before they are joined.
+    """
+    v = versions.groupBy("root").agg(F.collect_set("version").alias("found"))
+    wanted = roots.filter("git AND expected <> ''").select("root", F.explode(F.array("expected", F.concat(F.lit("v"), "expected"))).alias("tag"))
+    taken = tags.join(wanted, ["root", "tag"], "left_semi").select("root").distinct().withColumn("taken", F.lit(True))
+    # A null expectation or branch reads as none; an empty one too.
+    git, expected, n = F.coalesce("git", F.lit(False)), F.nullif("expected", F.lit("")), F.coalesce(F.size("found"), F.lit(0))
+    has = F.col("found").isNotNull()
+    checks = {
+        "not_git_repository": ~git,
+        "dirty_worktree": git & (F.col("changes") > 0),
+        "detached_head": git & (F.coalesce("branch", F.lit("")) == ""),
+        "tag_collision": F.coalesce("taken", F.lit(False)),
+        "no_version_metadata": ~has,
+        "inconsistent_versions": has & (n > 1),
+        "expected_version_mismatch": has & expected.isNotNull() & F.exists("found", lambda x: x != expected),
+    }
+    codes = F.array_compact(F.array(*[F.when(test, code) for code, test in checks.items()]))
+    warning = lambda c: c.isin("detached_head", "no_version_metadata")
+    told = roots.join(v, "root", "left").join(taken, "root", "left").select("root", codes.alias("codes"))
+    status = F.when(F.exists("codes", lambda c: ~warning(c)), "blocked").otherwise("ready")
+    return told.select("root", F.explode_outer("codes").alias("code"), status.alias("status")).select("root", "code", F.when(warning(F.col("code")), "warning").when(F.col("code").isNotNull(), "blocker").alias("severity"), "status")

@@ -92,3 +92,35 @@ def test_registry_findings(spark):
     found = spark.createDataFrame([("a-1", "1.0.0-rc.1"), ("b", "1.0.0"), ("C", "1.0.0"), ("d", "1.0"), ("e", None), ("f", "1.0.0"), ("g", "1.0.0")], schema)
     told = {(r["name"], r["finding"]) for r in R.registry_findings(entries, found).collect()}
     assert told == {("b", "versions differ"), ("C", "bad name"), ("d", "bad version"), ("e", "bad version"), ("f", "registered more than once"), (None, "bad name"), (None, "missing"), ("g", "not registered")}
+
+
+def test_manifests_and_preflight(spark):
+    files = spark.createDataFrame(
+        [
+            ("a", "pyproject.toml", 'version = "0"\n[project]\nversion = 1\r\nversion = \'1.2.3\'  # x\nversion = "9"\n'),
+            ("a", "package.json", '{"version": "1.2.3", "deps": {"version": "4"}}'),
+            ("b", "Cargo.toml", '[package.x]\nversion = "1"\n[ package ]\nversion = "2"'),
+            ("b", ".claude-plugin/plugin.json", '{"version": "3"}'),
+            ("c", "package.json", "{bad"),
+            ("c", "pyproject.toml", None),
+            ("c", "Cargo.toml", ""),
+            ("c", "other.json", '{"version": "3"}'),
+            ("d", "package.json", '{"version": null}'),
+            ("d", ".codex-plugin/plugin.json", "[1]"),
+        ],
+        "root string, path string, text string",
+    )
+    found = R.manifest_versions(files)
+    assert {(r["root"], r["kind"], r["version"]) for r in found.collect()} == {("a", "python", "1.2.3"), ("a", "node", "1.2.3"), ("b", "rust", "2"), ("b", "claude-plugin", "3")}
+    roots = spark.createDataFrame([("a", True, "main", 0, "1.2.3"), ("b", True, None, 1, None), ("c", False, None, None, "1"), ("d", True, "main", 0, "")], "root string, git boolean, branch string, changes int, expected string")
+    tags = spark.createDataFrame([("a", "v1.2.3"), ("a", "1.2.3"), ("b", "v2"), ("c", "1"), ("d", "v")], "root string, tag string")
+    told = {(r["root"], r["code"], r["severity"], r["status"]) for r in R.preflight(roots, found, tags).collect()}
+    assert told == {
+        ("a", "tag_collision", "blocker", "blocked"),
+        ("b", "dirty_worktree", "blocker", "blocked"),
+        ("b", "detached_head", "warning", "blocked"),
+        ("b", "inconsistent_versions", "blocker", "blocked"),
+        ("c", "not_git_repository", "blocker", "blocked"),
+        ("c", "no_version_metadata", "warning", "blocked"),
+        ("d", "no_version_metadata", "warning", "ready"),
+    }
