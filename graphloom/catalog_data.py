@@ -125,15 +125,21 @@ def reg_validate(spark, d):
     return R.registry_findings(e, there)
 
 
-WANTED, FOUND = "('a', 'h1'), ('b', 'h2'), ('c', 'h3')", "('a', 'h1', true), ('b', 'hx', false)"
+# Parts are to be installed under two targets; by size they are there as links, as other links, as copies, changed, or not at all.
+PLACE_OF = "'/src/' || p_partkey"
 
 
-@query(f"SELECT w.name, CASE WHEN f.name IS NULL THEN 'missing' WHEN f.link THEN 'synced' WHEN f.hash = w.hash THEN 'synced-copy' ELSE 'conflict' END AS state FROM (VALUES {WANTED}) w(name, hash) LEFT JOIN (VALUES {FOUND}) f(name, hash, link) ON f.name = w.name")
+@query(
+    "SELECT CAST(p_partkey AS VARCHAR) AS name, target, state, CASE state WHEN 'missing' THEN 'PLAN' WHEN 'synced' THEN 'OK' WHEN 'synced-copy' THEN 'OK' ELSE 'CONFLICT' END AS action FROM ("
+    "SELECT p_partkey, 'one' AS target, CASE WHEN p_size <= 10 THEN 'synced' WHEN p_size <= 15 THEN 'conflict-link' WHEN p_size <= 25 THEN 'synced-copy' WHEN p_size <= 30 THEN 'conflict-existing' WHEN p_size <= 35 THEN 'conflict-existing' ELSE 'missing' END AS state FROM part UNION ALL SELECT p_partkey, 'two', 'missing' FROM part)"
+)
 def reg_install_plan(spark, d):
-    w = spark.sql(f"SELECT * FROM VALUES {WANTED} AS t(name, hash)")
-    f = spark.sql(f"SELECT * FROM VALUES {FOUND} AS t(name, has, link)").withColumn("there", F.lit(True))
-    state = F.when(F.col("there").isNull(), "missing").when(F.col("link"), "synced").when(F.col("has") == F.col("hash"), "synced-copy").otherwise("conflict")
-    return w.join(f, "name", "left").select("name", state.alias("state"))
+    parts = table(spark, d, "part")
+    wanted = parts.select(F.col("p_partkey").cast("string").alias("name"), F.explode(F.array(F.lit("one"), F.lit("two"))).alias("target"), F.expr(PLACE_OF).alias("place"), F.md5(F.col("p_name").cast("binary")).alias("digest"))
+    link = F.when(F.col("p_size") <= 10, F.expr(PLACE_OF)).when(F.col("p_size") <= 15, "/elsewhere")
+    digest = F.when(F.col("p_size") <= 25, F.md5(F.col("p_name").cast("binary"))).when(F.col("p_size") <= 30, "changed")
+    found = parts.filter("p_size <= 35").select(F.col("p_partkey").cast("string").alias("name"), F.lit("one").alias("target"), link.alias("link"), digest.alias("digest"))
+    return R.install_plan(wanted, found, copies=True)
 
 
 # Orders are release candidates, their lines gates and, where many are ordered, destinations; urgent orders in part are retired.

@@ -118,3 +118,17 @@ def preflight(roots: DataFrame, versions: DataFrame, tags: DataFrame) -> DataFra
     told = roots.join(v, "root", "left").join(taken, "root", "left").select("root", codes.alias("codes"))
     status = F.when(F.exists("codes", lambda c: ~warning(c)), "blocked").otherwise("ready")
     return told.select("root", F.explode_outer("codes").alias("code"), status.alias("status")).select("root", "code", F.when(warning(F.col("code")), "warning").when(F.col("code").isNotNull(), "blocker").alias("severity"), "status")
+
+
+def install_plan(wanted: DataFrame, found: DataFrame, copies: bool = False) -> DataFrame:
+    """name, target, state and action of each row of ``wanted``.
+
+    ``wanted``: name, target, place, digest (of the whole tree). ``found``: name, target, link (where a link leads;
+    null: no link), digest (null: no folder). A link is in step if it leads to the place, else a conflict; what is no
+    link is in step only when copies are asked for and the digests agree. Nothing that is there is ever replaced.
+    """
+    there = found.select("name", "target", "link", F.col("digest").alias("has"), F.lit(True).alias("there"))
+    state = F.when(F.col("there").isNull(), "missing").when(F.col("link") == F.col("place"), "synced").when(F.col("link").isNotNull(), "conflict-link")
+    state = state.when(F.lit(copies) & (F.col("has") == F.col("digest")), "synced-copy").otherwise("conflict-existing")
+    action = F.when(F.col("state") == "missing", "PLAN").when(F.startswith("state", F.lit("synced")), "OK").otherwise("CONFLICT")
+    return wanted.join(there, ["name", "target"], "left").select("name", "target", state.alias("state")).withColumn("action", action)

@@ -124,3 +124,11 @@ def test_manifests_and_preflight(spark):
         ("c", "no_version_metadata", "warning", "blocked"),
         ("d", "no_version_metadata", "warning", "ready"),
     }
+
+
+def test_install_plan(spark):
+    wanted = spark.createDataFrame([(n, "t", "/s/" + n, "h") for n in "abcdef"], "name string, target string, place string, digest string")
+    found = spark.createDataFrame([("a", "t", "/s/a", None), ("b", "t", "/x", "h"), ("c", "t", None, "h"), ("d", "t", None, "g"), ("e", "t", None, None), ("f", "u", "/s/f", "h")], "name string, target string, link string, digest string")
+    told = {r["name"]: (r["state"], r["action"]) for r in R.install_plan(wanted, found, True).collect()}
+    assert told == {"a": ("synced", "OK"), "b": ("conflict-link", "CONFLICT"), "c": ("synced-copy", "OK"), "d": ("conflict-existing", "CONFLICT"), "e": ("conflict-existing", "CONFLICT"), "f": ("missing", "PLAN")}
+    assert {r["state"] for r in R.install_plan(wanted, found).filter("name = 'c'").collect()} == {"conflict-existing"}
