@@ -48,12 +48,14 @@ def src_toc(spark, d):
     return rows.withColumn("caption", F.coalesce(cap, F.lit("Uncategorized"))).filter("text LIKE '- file: %'").select("caption", F.substring("text", 9, 1000).alias("slug"))
 
 
-REFS = "('docs/a.md#L2'), ('docs/a.md'), ('#x'), ('a# b'), ('a#b#c')"
+# References of several forms, good and bad, by the language of a document.
+REFS = "SELECT doc_id, CASE lang WHEN 'en' THEN source || '.md#L' || doc_id WHEN 'de' THEN source || '.md' WHEN 'fr' THEN '#' || source WHEN 'es' THEN source || '# ' || source ELSE source || '#b#' || n_chars END AS v FROM documents"
 
 
-@query(f"SELECT v, nullif(regexp_extract(v, '^([^#]+)#([^\\s#].*)$', 1), '') AS path, nullif(regexp_extract(v, '^([^#]+)#([^\\s#].*)$', 2), '') AS anchor FROM (VALUES {REFS}) t(v)")
+@query(f"SELECT doc_id, v, nullif(regexp_extract(v, '^([^#]+)#([^\\s#].*)$', 1), '') AS path, nullif(regexp_extract(v, '^([^#]+)#([^\\s#].*)$', 2), '') AS anchor FROM ({REFS})")
 def src_reference(spark, d):
-    return spark.sql(f"SELECT v FROM VALUES {REFS} AS t(v)").select("v", source_path("v").alias("path"), source_anchor("v").alias("anchor"))
+    refs = spark.sql(REFS.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents"))
+    return refs.select("doc_id", "v", source_path("v").alias("path"), source_anchor("v").alias("anchor"))
 
 
 # ---- release and registry --------------------------------------------------------------------------------------
