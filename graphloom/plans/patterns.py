@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import connected_components
 from graphloom.session import cut
 
 _FILTER = re.compile(r"^\?(\w+)\.(type|id|label|props\.[\w.-]+)\s*(!=|=)\s*(.+)$")
@@ -46,18 +47,44 @@ class Graph:
         e = self.edges
         hits = e.filter(F.col("rel") == rel).select(F.col("from").alias("s"), F.col("to").alias("o"))
         turned = lambda r: e.filter(F.col("rel") == r).select(F.col("to").alias("s"), F.col("from").alias("o"))
-        flags = self.relations.get(rel, {})
-        if flags.get("symmetric"):
+        if self._symmetric(rel):
             hits = hits.unionByName(turned(rel))
-        others = {flags["inverse"]} if flags.get("inverse") else set()
-        others |= {r for r, f in self.relations.items() if f.get("inverse") == rel}
-        for r in sorted(others):
+        for r in self._inverses(rel):
             hits = hits.unionByName(turned(r))
         known = self.nodes.select(F.col("id").alias("s"))
         return hits.join(known, "s", "left_semi").distinct()
 
+    def _symmetric(self, rel: str) -> bool:
+        return bool(self.relations.get(rel, {}).get("symmetric"))
+
+    def _inverses(self, rel: str) -> list[str]:
+        own = self.relations.get(rel, {}).get("inverse")
+        return sorted(({own} if own else set()) | {r for r, f in self.relations.items() if f.get("inverse") == rel})
+
+    def _by_classes(self, rel: str) -> bool:
+        """Whether every step can be gone back, so that closure is the same as being connected."""
+        return self._symmetric(rel) and not self._inverses(rel)
+
+    def classes(self, rel: str) -> DataFrame:
+        """(id, component) of the nodes with a step of a symmetric relation, in a number of rounds that grows with the
+        logarithm of the longest chain. Each node reaches its whole class, itself included: there and back."""
+        known = self.nodes.select("id")
+        inside = self.edges.filter(F.col("rel") == rel).select(F.col("from").alias("a"), F.col("to").alias("b")).join(known, F.col("a") == known["id"], "left_semi").join(known, F.col("b") == known["id"], "left_semi")
+        return connected_components(inside)
+
+    def closure_counts(self, rel: str) -> DataFrame:
+        """(id, n): how many nodes each node reaches by a symmetric relation, from the sizes of the classes; no pair is made."""
+        found = cut(self.classes(rel))
+        return found.join(found.groupBy("component").agg(F.count("*").alias("n")), "component").select("id", "n")
+
     def closure(self, rel: str, start: str | None = None, end: str | None = None) -> DataFrame:
         """(s, o) by one step or more. A bound end is where the loop starts, so only what it reaches is made."""
+        if self._by_classes(rel):
+            found = cut(self.classes(rel))
+            one, two = found.select(F.col("id").alias("s"), "component"), found.select(F.col("id").alias("o"), "component")
+            one = one if start is None else one.filter(F.col("s") == start)
+            two = two if end is None else two.filter(F.col("o") == end)
+            return one.join(two, "component").select("s", "o")
         known = self.nodes.select(F.col("id").alias("o"))
         step = cut(self.expand(rel).join(known, "o", "left_semi").select("s", "o"))
         if end is not None and start is None:
@@ -141,6 +168,10 @@ class Graph:
         return out.distinct()
 
     def query(self, patterns: list[str], optional: tuple[str, ...] = (), negated: tuple[str, ...] = (), filters: tuple[str, ...] = (), count_by: str | None = None) -> DataFrame:
+        if count_by and len(patterns) == 1 and not (optional or negated or filters):
+            t = parse(patterns[0])
+            if t.p.endswith("+") and self._by_classes(t.p[:-1]) and is_var(t.s) and is_var(t.o) and t.s != t.o and count_by.lstrip("?") in (t.s[1:], t.o[1:]):
+                return self.closure_counts(t.p[:-1]).withColumnRenamed("id", count_by.lstrip("?"))  # reaching goes both ways
         acc = self.join_all([parse(p) for p in patterns])
         certain = set(acc.columns)
         for p in optional:

@@ -25,6 +25,23 @@ def test_closure_seeds(small):
     assert {r["y"] for r in small.query(["a r+ ?y"]).collect()} == {"a", "b", "c", "d"}
 
 
+def test_closure_of_a_symmetric_relation_is_not_walked(spark, monkeypatch):
+    """A chain of 40 needs no round a step; the pairs and their counts are those of its classes."""
+    monkeypatch.setattr(Graph, "_grow", None)
+    rows = [(f"n{i}", "r", f"n{i + 1}") for i in range(39)] + [("p", "r", "q"), ("q", "r", "p"), ("l", "r", "l"), ("p", "r", "gone"), ("gone", "r", "alone")]
+    ids = [f"n{i}" for i in range(40)] + ["p", "q", "l", "alone"]
+    nodes = spark.createDataFrame([(i, "T", i) for i in ids], "id string, type string, label string")
+    graph = Graph(nodes, spark.createDataFrame(rows, "`from` string, rel string, `to` string"), {"r": {"symmetric": True}})
+    chain = {f"n{i}" for i in range(40)}
+    want = {(x, y) for x in chain for y in chain} | {(x, y) for x in "pq" for y in "pq"} | {("l", "l")}
+    assert {tuple(r) for r in graph.query(["?x r+ ?y"]).collect()} == want
+    sizes = dict.fromkeys(chain, 40) | {"p": 2, "q": 2, "l": 1}
+    for by in ("x", "y"):
+        assert {r[by]: r["n"] for r in graph.query(["?x r+ ?y"], count_by=f"?{by}").collect()} == sizes
+    assert {r["y"] for r in graph.query(["n3 r+ ?y"]).collect()} == chain
+    assert {r["x"] for r in graph.query(["?x r+ q"]).collect()} == {"p", "q"}
+
+
 def test_parallel_edges_count_once_in_queries_and_twice_in_degree(small):
     assert small.query(["a r ?y"]).count() == 1
     assert {r["id"]: r["degree"] for r in G.degree(small.nodes, small.edges).collect()}["a"] == 3
