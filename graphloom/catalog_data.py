@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import source_anchor, source_path
 from graphloom.operators import release as R
-from graphloom.session import table
+from graphloom.operators.quantiles import quantiles
+from graphloom.session import cut, table
 from graphloom.streaming import events as E
 
 Q, O = {}, {}
@@ -206,9 +207,9 @@ def tca_strata(spark, d):
 
 @query(f"WITH p AS (SELECT side, 1e4 * side * (px - bench) / bench AS bps FROM {FILLS}), q AS (SELECT side, quantile_cont(bps, 0.95) AS q95 FROM p GROUP BY side) SELECT p.side, round(median(bps), 4) AS median, round(any_value(q95), 4) AS p95, round(avg(bps) FILTER (WHERE bps >= q95), 4) AS shortfall FROM p JOIN q ON p.side = q.side GROUP BY p.side")
 def tca_tails(spark, d):
-    p = fills(spark, d).select("side", (1e4 * F.col("side") * (F.col("px") - F.col("bench")) / F.col("bench")).alias("bps"))
-    q = p.groupBy("side").agg(F.percentile("bps", 0.95).alias("q95"), F.percentile("bps", 0.5).alias("m"))
-    return p.join(q, "side").groupBy("side").agg(F.round(F.first("m"), 4).alias("median"), F.round(F.first("q95"), 4).alias("p95"), F.round(F.avg(F.when(F.col("bps") >= F.col("q95"), F.col("bps"))), 4).alias("shortfall"))
+    p = cut(fills(spark, d).select("side", (1e4 * F.col("side") * (F.col("px") - F.col("bench")) / F.col("bench")).alias("bps")))
+    q = quantiles(p, "bps", {"m": 0.5, "q95": 0.95}, ["side"])
+    return p.join(F.broadcast(q), "side").groupBy("side").agg(F.round(F.first("m"), 4).alias("median"), F.round(F.first("q95"), 4).alias("p95"), F.round(F.avg(F.when(F.col("bps") >= F.col("q95"), F.col("bps"))), 4).alias("shortfall"))
 
 
 @query("WITH v AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'view'), c AS (SELECT user_id, ts, event_id FROM events WHERE event_type <> 'view') SELECT c.event_id, (SELECT value FROM v WHERE v.user_id = c.user_id AND v.ts <= c.ts ORDER BY v.ts DESC, v.event_id DESC LIMIT 1) AS quote FROM c")

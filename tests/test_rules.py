@@ -43,6 +43,22 @@ def test_summary_of_few_values(spark):
     assert (got["n"], got["p05"], got["median"], got["p95"], got["sd"]) == (7, 1.3, 4.0, 6.7, 2.0)
 
 
+def test_quantiles_rank_only_what_is_near(spark):
+    """Many values, long tails, ties on the quantile, nulls and small groups: as the exact percentile has them."""
+    from graphloom.operators.quantiles import quantiles
+
+    many = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("k"), F.when(F.col("id") % 11 > 0, F.exp(F.pmod(F.col("id") * 7919, F.lit(60_013)) / 2000) - 5).alias("v"))
+    ties = spark.range(40_000).select(F.lit("t").alias("k"), F.floor(F.col("id") / 30_000).cast("double").alias("v"))
+    few = spark.createDataFrame([("f", 1.0), ("f", 4.0), ("f", None), ("one", -2.5), ("none", None)], "k string, v double")
+    rows = many.unionByName(ties).unionByName(few)
+    got = {r["k"]: r for r in quantiles(rows, "v", {"low": 0.0, "mid": 0.5, "high": 0.95, "top": 1.0}, ["k"]).collect()}
+    want = rows.groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", F.array(*[F.lit(x) for x in (0.0, 0.5, 0.95, 1.0)])).alias("q")).collect()
+    assert set(got) == {"a", "b", "t", "f", "one", "none"}
+    for r in want:
+        found = got[r["k"]]
+        assert found["n"] == r["n"] and [found[c] for c in ("low", "mid", "high", "top")] == (pytest.approx(r["q"], rel=1e-14) if r["q"] else [None] * 4)
+
+
 def test_strict_lines_and_frontmatter(spark):
     lines = spark.createDataFrame([(0, '{"id": "a:b"}'), (1, ""), (2, "[1]")], "ord long, line string")
     with pytest.raises(ValueError, match="line 3"):
