@@ -1,8 +1,11 @@
 import difflib
+import random
 
+import numpy as np
 import pytest
 
 from graphloom.operators import graph as G
+from graphloom.operators import names as N
 from graphloom.operators.components import connected_components
 from graphloom.plans.patterns import Graph, parse
 
@@ -78,6 +81,43 @@ def test_fuzzy_duplicates_on_all_kinds(spark):
     assert {"supplier", "customer", "part"} <= kinds
 
 
+def classes_of(pairs, ids):
+    """{node: (component, links)} by the pairs."""
+    at, n = {i: i for i in ids}, dict.fromkeys(ids, 0)
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for a, b in pairs:
+        n[a], n[b] = n[a] + 1, n[b] + 1
+        x, y = sorted((root(a), root(b)))
+        at[y] = x
+    return {i: (root(i), n[i]) for i in ids}
+
+
+def test_fuzzy_classes_are_those_of_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(G, "PAIRS_A_TASK", 300)
+    labels = {"a": "alpha beta", "b": "alpha beto", "c": "alpha gamma", "d": "alpha", "e": "same", "f": "Same", "g": "trio", "h": "trio", "i": "trio", "j": "", "k": None}
+    labels |= {f"n{i}": f"customer {i * 37 % 5000:06d}" for i in range(40)} | {f"m{i}": f"customer {i % 7:06d}" for i in range(20)} | {f"o{i}": str(i * 7919) for i in range(40)}
+    nodes = spark.createDataFrame([(i, "T", x) for i, x in labels.items()], "id string, type string, label string")
+    edges = spark.createDataFrame([(i, "r", t) for i in "ac" for t in "xy"] + [("d", "r", "x"), ("y", "r", "b"), ("b", "r", "x"), ("o1", "r", "x"), ("o1", "r", "z"), ("o19", "r", "x"), ("o19", "r", "z")], "`from` string, rel string, `to` string")
+    pairs = [(r["a"], r["b"]) for r in G.fuzzy_duplicates(nodes, edges).collect()]
+    assert {r["a"]: (r["component"], r["links"]) for r in G.fuzzy_classes(nodes, edges).collect()} == classes_of(pairs, labels)
+
+
+def test_matches_by_equal_characters():
+    """Names of one block at once, against a SequenceMatcher a pair."""
+    rand = random.Random(5)
+    for made in (lambda x: x[:6], lambda x: "customer 0" + x[:5], lambda x: "aab" + x[: rand.randint(0, 5)], lambda x: x * 2, lambda x: "xaxa" + x[:2]):
+        names = [made("".join(rand.choice("012a") for _ in range(8))) for _ in range(60)]
+        for least in (0.6, 0.82):
+            told = N.links(np.arange(60), names, [None] * 60, least)
+            pairs = [(i, j) for i in range(60) for j in range(i + 1, 60) if difflib.SequenceMatcher(None, names[i], names[j]).ratio() >= least]
+            assert {r.num: (r.root, r.links) for r in told.itertuples()} == classes_of(pairs, range(60))
+
+
 def test_bad_patterns():
     with pytest.raises(ValueError):
         parse("a b")
