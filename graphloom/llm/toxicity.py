@@ -19,17 +19,19 @@ that repeat count once, by their greatest label.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.gru import GRU, Adam, RowAdam, scatter, sigmoid
 from graphloom.llm.language import remainder, training_sample
-from graphloom.llm.text import Memo, bounded_batches, give_back, map_texts, words_of
+from graphloom.llm.text import Memo, bounded_batches, give_back, id_and_text, map_texts, rows_of, words_of
 
 HIDDEN, WINDOW, STRIDE, RUN = 8, 32, 16, 4096
 WORD_ROWS, CHAR_ROWS, WIDTH = 1 << 15, 1 << 16, 8
@@ -266,7 +268,10 @@ class ToxicModel:
 
 
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, train: Column) -> ToxicModel | None:
-    """``labels``: doc_id and toxic. ``train`` tells which documents may be learned from. The sample's ids are bounded, so they are broadcast."""
+    """``labels``: doc_id and toxic. ``train`` tells which documents may be learned from. The sample's ids are bounded, so they are broadcast.
+
+    One task reads the sample's texts and trains; the driver, whose memory does not grow with machines, holds the ids and the model.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("text", F.lit("")).filter(remainder(F.col("doc_id"), 5) != 0)
     picked, shares = training_sample(known, "toxic", DOCS_A_LABEL)
@@ -278,7 +283,22 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, train: Column) -> T
     # The sample has few rows, so one task can order them; their texts are taken until the bound on bytes is met.
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "text").rowsBetween(Window.unboundedPreceding, 0))
     bounded = found.limit(2 * len(label)).withColumn("bytes_so_far", size).filter(F.col("bytes_so_far") <= SAMPLE_BYTES)
-    rows = sorted((r[0], r[1] or "") for r in bounded.select("doc_id", "text").collect())
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*rows_of(batch), strict=True))
+        model = trained(rows, label, shares.get(0, 1) / max(1, shares.get(1, 1)))
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, protocol=5)], pa.binary())], names=["model"])
+        del rows, model
+        give_back()
+
+    bounded_batches(docs)
+    made = id_and_text(bounded).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else None
+
+
+def trained(rows: list[tuple[int, str]], label: dict[int, int], clean_for_toxic: float) -> ToxicModel | None:
+    """The model of a sample's rows (doc_id, text), in order; none unless both labels occur."""
     toxic = np.array([label[i] for i, _ in rows], float)
     if len(set(toxic)) < 2:
         return None
@@ -287,7 +307,7 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, train: Column) -> T
     texts = [t for _, t in rows]
     model.fit([t for t, h in zip(texts, held, strict=True) if not h], toxic[~held])
     tune = held if 0 < toxic[held].sum() < held.sum() else ~held
-    model.decide(model.logits([t for t, h in zip(texts, tune, strict=True) if h]), toxic[tune].astype(bool), shares.get(0, 1) / max(1, shares.get(1, 1)))
+    model.decide(model.logits([t for t, h in zip(texts, tune, strict=True) if h]), toxic[tune].astype(bool), clean_for_toxic)
     return model
 
 

@@ -362,6 +362,23 @@ def test_learned_operators(spark):
     assert got[99] == got[100] == "und" and np.mean([got[i] == ("p" if i % 2 else "q") for i in range(80)]) == 1
 
 
+def test_toxicity_is_not_learned_in_the_driver(spark, monkeypatch):
+    """The driver's memory does not grow with machines: texts are read and the model is trained in a task."""
+    seen = []
+    fit, collect = toxicity.ToxicModel.fit, type(spark.range(1)).collect
+    monkeypatch.setattr(toxicity.ToxicModel, "fit", lambda self, *a: seen.append("fit") or fit(self, *a))
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: [seen.append(r["text"]) or r if "text" in self.columns and r["text"] else r for r in collect(self)])
+    df = spark.createDataFrame([(i, "some vile words" if i % 2 else "some kind words") for i in range(60)] + [(60, None), (61, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)], "doc_id long, toxic int")
+    model = toxicity.train_toxicity_model(df, labels, language.remainder(df["doc_id"], 5) != 0)
+    assert not seen
+    rows = sorted((r["doc_id"], r["text"] or "") for r in collect(df.filter(language.remainder(df["doc_id"], 5) != 0)))
+    here = toxicity.trained(rows, {i: i % 2 for i, _ in rows}, 1.0)
+    assert np.allclose(model.score([t for _, t in rows]), here.score([t for _, t in rows]), atol=0.05)
+    assert toxicity.train_toxicity_model(df, labels.filter("toxic = 0"), language.remainder(df["doc_id"], 5) != 0) is None
+    assert toxicity.train_toxicity_model(df.filter("doc_id % 2 = 0"), labels, language.remainder(df["doc_id"], 5) != 0) is None
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     for df in (secrets.secret_digests(none), media.media_digests(none), substrings.substring_digests(none), near_dup.near_duplicates(none), packing.pack_documents(none, P.path("byte_bpe_50k.json"), P.PATTERN), bpe.roundtrip_digests(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), toxicity.score_toxicity(none, None), language.predict_languages(none, None)):
