@@ -62,6 +62,25 @@ def test_long_chain_components(spark):
     assert len(got) == 303 and {r["component"] for r in got} == {0, 1000}
 
 
+@pytest.mark.parametrize(("few", "most"), [(0, 100), (3, 100), (1 << 17, 2)])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, few, most):
+    """Few edges take one task and no rounds, each of which costs the driver several jobs; both ways agree, on names too."""
+    from graphloom.operators import components
+
+    tables = []
+    monkeypatch.setattr(components, "FEW", few)
+    cut = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: tables.append(1) or cut(df))
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (90, 90), (200, 200), (None, 5), (301, 300), (302, 300)]
+    want = {i: 0 for i in range(41)} | dict.fromkeys((90, 95, 100), 90) | {200: 200} | dict.fromkeys((300, 301, 302), 300)
+    got = components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted(want.items()) and len(tables) <= most
+    named = [(a and f"n{a:03}", f"n{b:03}") for a, b in pairs if a != 0]
+    got = components.connected_components(spark.createDataFrame(named, "a string, b string")).collect()
+    assert {r["id"]: r["component"] for r in got} == {f"n{i:03}": f"n{max(c, 1 if i < 41 else 0):03}" for i, c in want.items() if i}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_fuzzy_duplicates_with_shared_neighbours(spark):
     labels = {"a": "alpha beta", "b": "alpha beto", "c": "alpha gamma", "d": "alpha", "e": "same", "f": "Same", "g": "trio", "h": "trio", "i": "trio"}
     nodes = spark.createDataFrame([(i, "T", x) for i, x in labels.items()], "id string, type string, label string")
