@@ -6,6 +6,7 @@ import pytest
 
 from graphloom.operators import graph as G
 from graphloom.operators import names as N
+from graphloom.operators import neighbours as B
 from graphloom.operators.components import connected_components
 from graphloom.plans.patterns import Graph, parse
 
@@ -137,6 +138,61 @@ def test_matches_by_equal_characters():
             assert {r.num: (r.root, r.links) for r in told.itertuples()} == classes_of(pairs, range(60))
 
 
+def whole(told, ids):
+    """{num: (root, links)} from what the parts of a block told."""
+    n = dict.fromkeys(ids, 0)
+    for r in told:
+        n[r.num] += r.links
+    at = classes_of([(r.root, r.num) for r in told], ids)
+    return {i: (at[i][0], n[i]) for i in ids}
+
+
+def test_links_by_every_way():
+    """Shared subsequences and histograms find the links of all pairs, in parts too, without those left out."""
+    rand = random.Random(7)
+    for made in (lambda x: x[:6], lambda x: "customer 0" + x[:5], lambda x: "customer 0" + x[: rand.randint(0, 4)], lambda x: x[: rand.randint(1, 5)], lambda x: "xaxa" + x[:2]):
+        names = [made("".join(rand.choice("0123a") for _ in range(8))) for _ in range(90)]
+        ids = rand.sample(range(1000), 90)
+        skip = [[ids[i ^ 1]] if i < 30 else None for i in range(90)]
+        left = {frozenset(ids[i : i + 2]) for i in range(0, 30, 2)}
+        name, inorder = dict(zip(ids, names, strict=True)), sorted(ids)
+        for least in (0.6, 0.82):
+            pairs = [(a, b) for k, a in enumerate(inorder) for b in inorder[k + 1 :] if {a, b} not in left and difflib.SequenceMatcher(None, name[a], name[b]).ratio() >= least]
+            block = N.Names(np.array(ids), names, skip, least)
+            ways = ["one_by_one"] + [w for w, cost in (("by_subsequences", block.near_cost()), ("by_histograms", block.histogram_cost())) if cost < np.inf]
+            for way in ways:
+                for parts in (1, 3):
+                    told = [r for p in range(parts) for r in N.links(np.array(ids), names, skip, least, p, parts, way).itertuples()]
+                    assert whole(told, ids) == classes_of(pairs, ids)
+            assert len(ways) > 1
+
+
+@pytest.mark.parametrize("made", [lambda i: str(100000 + i), lambda i: f"customer {i:09d}"])
+def test_large_blocks_are_not_compared_pair_by_pair(monkeypatch, made):
+    monkeypatch.setattr(N.Block, "compare", None)
+    names = [made(i * 3) for i in range(20000)]
+    told = N.links(np.arange(20000), names, [None] * 20000, 0.82)
+    for i in (0, 4321, 19999):
+        ratios = [difflib.SequenceMatcher(None, *((names[i], x) if i < j else (x, names[i]))).ratio() for j, x in enumerate(names)]
+        assert told["links"][i] == sum(r >= 0.82 for r in ratios) - 1
+
+
+def test_links_by_neighbours_are_those_of_the_pairs():
+    """With hubs around most nodes, whose pairs are not all looked at."""
+    rand = random.Random(3)
+    names = ["l" + "".join(rand.choice("01a") for _ in range(rand.choice((4, 9)))) for _ in range(200)]
+    ids = rand.sample(range(1000), 200)
+    around = [rand.sample(ids, rand.randint(2, 4)) for _ in range(40)] + [rand.sample(ids, 190), rand.sample(ids, 120)]
+    skip = [[ids[1]], [ids[0]]] + [None] * 198
+    name, near, inorder = dict(zip(ids, names, strict=True)), {i: {k for k, m in enumerate(around) if i in m} for i in ids}, sorted(ids)
+    both = [(a, b) for k, a in enumerate(inorder) for b in inorder[k + 1 :] if len(near[a] & near[b]) >= 2 and {a, b} != set(ids[:2])]
+    pairs = [(a, b) for a, b in both if 0.6 <= difflib.SequenceMatcher(None, name[a], name[b]).ratio() < 0.82]
+    flat, size = np.concatenate(around), np.array([len(m) for m in around])
+    for parts in (1, 4):
+        told = [r for p in range(parts) for r in B.links(np.array(ids), names, skip, flat, size, 0.6, 0.82, 2, p, parts).itertuples()]
+        assert len(pairs) > 100 and whole(told, ids) == classes_of(pairs, ids)
+
+
 def test_bad_patterns():
     with pytest.raises(ValueError):
         parse("a b")
